@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import credentials, split, tokens
-from skein.tables import one_per_id, table
+from skein.llm import credentials, neardup, split, tokens
+from skein.tables import one_per_id, slug, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact_secrets(one_per_id(table(spark, sf_dir, "memories").select("id", "content")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "memories").select("id", "project", "content")
+    return neardup.similar_pairs(rows, "id", "content", slug(F.col("project"))).toDF("id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "memories").select("id", "project", "content")
+    return neardup.similar_groups(rows, "id", "content", slug(F.col("project")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     memories = split.oversized_blocks(table(spark, sf_dir, "memories"), "id", "content")
     chunks = split.oversized_blocks(table(spark, sf_dir, "text_chunks"), "chunk_id", "text", "start_line")
@@ -46,10 +56,21 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
 }
 
-SQL: dict[str, str] = {}
+#: Only what plain SQL can say over whole tables; the tests hold the other queries against brute force.
+SQL: dict[str, str] = {
+    "p2_found": r"""
+        WITH m AS (
+          SELECT DISTINCT id, nullif(trim(regexp_replace(lower(project), '[^a-z0-9]+', '-', 'g'), '-'), '') AS g,
+                 list_distinct(list_filter(string_split_regex(lower(coalesce(content, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w
+          FROM memories)
+        SELECT a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.g IS NOT DISTINCT FROM b.g AND a.id < b.id
+        WHERE len(a.w) > 0 AND 5 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+}
