@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import credentials, neardup, split, tokens
+from skein.llm import credentials, neardup, split, tokens, vectors
 from skein.tables import one_per_id, slug, table
 
 
@@ -27,6 +27,19 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(rows, "id", "content", slug(F.col("project")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.nearest(table(spark, sf_dir, "query_cache"), "text_hash", "embedding", least=0.8)
+    return near.select(F.least("text_hash", "other").alias("hash_a"), F.greatest("text_hash", "other").alias("hash_b")).distinct()
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "query_cache"), "text_hash", "embedding")
+
+
+def p4_nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", dim=64)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     memories = split.oversized_blocks(table(spark, sf_dir, "memories"), "id", "content")
     chunks = split.oversized_blocks(table(spark, sf_dir, "text_chunks"), "chunk_id", "text", "start_line")
@@ -58,6 +71,9 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
+    "p4_nearest_embeddings": p4_nearest_embeddings,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
