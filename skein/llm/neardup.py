@@ -178,7 +178,8 @@ def keyed(df: DataFrame, key: str, text: str, group: Column | None = None) -> Da
     """(key, grp, words, cls) of every row with words: its distinct words in order, and the class of its group and words."""
     g = F.coalesce(F.concat(F.lit("="), group), F.lit("")) if group is not None else F.lit("")
     rows = df.select(df[key].alias("key"), g.alias("grp"), F.concat_ws(" ", F.array_sort(word_set(df[text]))).alias("words")).filter("words <> ''")
-    return rows.withColumn("cls", F.unhex(F.md5(F.concat_ws("\n", "grp", "words"))))
+    # said here, the filter that joins imply leaves all plans over the classes alike, so that they share one exchange
+    return rows.withColumn("cls", F.unhex(F.md5(F.concat_ws("\n", "grp", "words")))).filter("cls is not null")
 
 
 def top_levels(df: DataFrame, key: str, text: str, group: Column | None, shard: int) -> tuple[dict, int, dict]:
