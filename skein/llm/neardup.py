@@ -74,14 +74,21 @@ class Radius:
 
 
 def fingerprints(hashes: np.ndarray, row: np.ndarray, rows: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment fingerprints of all rows one after another, fingerprint of the whole set of each row)."""
+    """(segment fingerprints of all rows one after another, fingerprint of the whole set of each row in two halves)."""
     first = np.concatenate([[0], np.cumsum(parts)])
-    segs, whole = np.zeros(first[-1], np.uint64), np.zeros(rows, np.uint64)
+    segs, whole = np.zeros(first[-1], np.uint64), np.zeros(2 * rows, np.uint64)
     x = _mix(hashes.view(np.uint64))
     at = first[row] + (x % parts[row].astype(np.uint64)).astype(np.int64)
     np.bitwise_xor.at(segs, at, np.uint64(1) << ((x >> np.uint64(40)) & np.uint64(63)))
-    np.bitwise_xor.at(whole, row, np.uint64(1) << ((x >> np.uint64(50)) & np.uint64(63)))
-    return segs, whole
+    half = ((x >> np.uint64(56)) & np.uint64(1)).astype(np.int64)
+    np.bitwise_xor.at(whole, 2 * row + half, np.uint64(1) << ((x >> np.uint64(50)) & np.uint64(63)))
+    return segs, whole.reshape(rows, 2)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of fingerprints; the halves of whole sets lie in the last axis."""
+    d = np.bitwise_count(a ^ b).astype(np.int64)
+    return d.sum(axis=-1) if d.ndim > 1 and d.shape[-1] == 2 and a.ndim > 1 and a.shape[-1] == 2 else d
 
 
 def vantage_pairs(fp: np.ndarray, whole: np.ndarray, n: np.ndarray, home: np.ndarray, parts: int, radius: Radius) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +108,7 @@ def vantage_pairs(fp: np.ndarray, whole: np.ndarray, n: np.ndarray, home: np.nda
         if len(data) > LEAF:
             values, reach = (whole, r) if alike else (fp, e)
             point = values[data[len(data) // 2]]
-            d, q = (np.bitwise_count(values[i] ^ point).astype(np.int64) for i in (data, query))
+            d, q = (distance(values[i], point) for i in (data, query))
             middle = np.median(d)
             inner = d <= middle
             if inner.all():
@@ -122,7 +129,7 @@ def vantage_pairs(fp: np.ndarray, whole: np.ndarray, n: np.ndarray, home: np.nda
             a, b = part[a], data[b]
             big, small = np.maximum(n[a], n[b]), np.minimum(n[a], n[b])
             ok = radius.pair(n[a], n[b])
-            ok = (np.bitwise_count(fp[a] ^ fp[b]) <= ok // parts) & (np.bitwise_count(whole[a] ^ whole[b]) <= ok) & (small + 1e-9 >= radius.t * big) & (a != b) & ((a < b) | ~home[a])
+            ok = (np.bitwise_count(fp[a] ^ fp[b]) <= ok // parts) & (distance(whole[a], whole[b]) <= ok) & (small + 1e-9 >= radius.t * big) & (a != b) & ((a < b) | ~home[a])
             out_a.append(a[ok])
             out_b.append(b[ok])
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
@@ -248,22 +255,23 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
                     with np.errstate(over="ignore"):
                         shard = _mix(_mix(_mix(grp[mine][o].view(np.uint64) + np.uint64(k)) + seg[r].astype(np.uint64)) + leaf.astype(np.uint64))
                     info = n[mine][o] * 256 + k * 2 + (home & (shift == 0))
-                    columns = [pa.array(x) for x in (shard.view(np.int64), fp[r].view(np.int64), whole[o].view(np.int64), info)]
-                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(mine[o])), *columns], ["cls", "shard", "fp", "whole", "info"])
+                    columns = [pa.array(x) for x in (shard.view(np.int64), fp[r].view(np.int64), *whole[o].T.copy().view(np.int64), info)]
+                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(mine[o])), *columns], ["cls", "shard", "fp", "whole", "whole2", "info"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard after another: the rows come sorted by shard."""
         rest: pa.Table | None = None
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            shard, fp, whole, info = (t.column(c).to_numpy() for c in ("shard", "fp", "whole", "info"))
+            shard, fp, info = (t.column(c).to_numpy() for c in ("shard", "fp", "info"))
+            whole = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("whole", "whole2")], axis=1)
             cls = t.column("cls").combine_chunks()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
                 i, j = vantage_pairs(
-                    fp[a:b].view(np.uint64), whole[a:b].view(np.uint64), info[a:b] // 256, (info[a:b] & 1).astype(bool), int(segments(np.array([(info[a] % 256) // 2]))[0]), radius
+                    fp[a:b].view(np.uint64), whole[a:b], info[a:b] // 256, (info[a:b] & 1).astype(bool), int(segments(np.array([(info[a] % 256) // 2]))[0]), radius
                 )
                 if len(i):
                     yield pa.RecordBatch.from_arrays([cls.take(pa.array(a + i)), cls.take(pa.array(a + j))], ["x", "y"])
@@ -282,7 +290,7 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
             yield from pairs(rest)
 
     hashed = found.select("cls", F.xxhash64("grp").alias("grp"), F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
-    spread = hashed.mapInArrow(shards, "cls binary, shard long, fp long, whole long, info long")
+    spread = hashed.mapInArrow(shards, "cls binary, shard long, fp long, whole long, whole2 long, info long")
     hits = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "x binary, y binary")
     candidates = hits.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b")).distinct()
     a, b = (found.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cls", "grp", "words"))) for s in "ab")
