@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import credentials, neardup, split, tokens, vectors
+from skein.llm import credentials, neardup, pack, pii, split, subjects, tokens, vectors
+from skein.session import cut
 from skein.tables import one_per_id, slug, table
 
 
@@ -27,6 +28,14 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(rows, "id", "content", slug(F.col("project")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.details_in(table(spark, sf_dir, "memories")).select("id", "pii_type", "pii_text").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_details(one_per_id(table(spark, sf_dir, "memories").select("id", "content")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vectors.nearest(table(spark, sf_dir, "query_cache"), "text_hash", "embedding", least=0.8)
     return near.select(F.least("text_hash", "other").alias("hash_a"), F.greatest("text_hash", "other").alias("hash_b")).distinct()
@@ -66,11 +75,41 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(back, "doc_id").join(sizes, "doc_id").select("doc_id", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut(tokens.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", lengths=True))
+    return pack.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many containers, how full, and how many documents were split."""
+    placed = p7_containers(spark, sf_dir)
+    per = placed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    split_docs = placed.filter("piece_no = 1").select(F.count(F.lit(1)).alias("split_documents"))
+    total = per.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+    return total.withColumn("fill", F.col("tokens") / (F.col("containers") * 2048)).crossJoin(F.broadcast(split_docs))
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "doc_labels").select("doc_id").distinct()
+    return p8_subjects(spark, sf_dir).select("doc_id", "subject").join(labelled, "doc_id", "left_anti")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, documents) over the whole corpus."""
+    return p8_subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
     "p4_nearest_embeddings": p4_nearest_embeddings,
@@ -78,6 +117,11 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_subjects": p8_subjects,
+    "p8_composition": p8_composition,
 }
 
 #: Only what plain SQL can say over whole tables; the tests hold the other queries against brute force.
