@@ -1,0 +1,333 @@
+"""Hybrid search for a table of queries: two ranked lanes, fused, weighed by what is known of a memory, then reranked.
+
+Everything up to the last few rows of a query is one declarative plan; the greedy and the session steps run on
+at most `WIDE` rows a query.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from skein.functions.text import contains_any, terms
+from skein.operators import graph as G
+from skein.operators import knowledge as K
+from skein.operators import lexical as L
+from skein.operators import vectors as V
+from skein.operators.folds import never_rising
+from skein.operators.relational import age_days, expired, has_tag
+from skein.session import cut
+
+#: The published constant of reciprocal rank fusion, as used here, and the rank of what a lane did not find.
+RRF_K, MISSING = 40, 1000
+FIRST_VARIANT, OTHER_VARIANTS, VECTORS, WIDE = 150, 75, 100, 30
+
+# Fixed values, authored for this library: words that tell what a question is after.
+INTENT = {
+    "preference": "prefer preference favourite favorite like rather préfère choice".split(),
+    "update": "latest current now changed update updated newest still actuel".split(),
+    "temporal": "when first last before after ago since yesterday week month quand date".split(),
+    "technical": "error bug function code config deploy cache index build test api".split(),
+}
+TECHNICAL_KINDS = ("bug", "snippet", "architecture", "pattern")
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a search may be told; the defaults are those of the registered queries."""
+
+    as_of: str
+    limit: int = 10
+    project: str | None = None
+    kind: str | None = None
+    mode: str = "default"
+    tags: tuple[str, ...] = ()
+    keywords: tuple[str, ...] = ()  # of files in work
+    #: Score of a neighbour found over links: below any hit of its own, unless set otherwise.
+    graph_share: float = 0.5
+    min_score: float = 0.0
+    weights: dict = field(default_factory=lambda: dict(L.WEIGHTS))
+
+
+def fields_of(df: DataFrame) -> dict[str, Column]:
+    return {"content": F.col("content"), "tags": F.array_join("tags", " "), "kind": F.col("kind"), "project": F.coalesce("project", F.lit(""))}
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query, n, term) of (query, text)."""
+    return queries.select("query", F.posexplode(terms(F.col("text"))).alias("n", "term"))
+
+
+def lexical_lane(queries: DataFrame, rows: DataFrame, weights: dict[str, float] = L.WEIGHTS) -> DataFrame:
+    """(query, id, bm25_rank): the best rank over the variants: all words as prefixes, side by side, near each other."""
+    asked = query_terms(queries)
+    fields = fields_of(rows)
+    index, places, sizes = L.postings(rows, "id", fields), L.positions(rows, "id", fields), L.lengths(rows, "id", fields)
+    hits = cut(L.match_terms(index, asked, prefix=True))
+    full = L.rank(L.bm25(L.all_terms(hits, asked), sizes, weights), FIRST_VARIANT)
+    exact = L.bm25(L.match_terms(index, asked, prefix=False), sizes, weights)
+    several = asked.groupBy("query").agg(F.count(F.lit(1)).alias("k")).filter("k between 2 and 8").select("query")
+    short = asked.filter("n < 6").join(several, "query", "left_semi")
+    side = L.phrase(places, short).select("query", "key").distinct()
+    close = L.near(places, asked.filter("n < 5").join(several, "query", "left_semi")).select("query", "key").distinct()
+    ranked = [full.select("query", "key", "rank")] + [L.rank(exact.join(v, ["query", "key"]), OTHER_VARIANTS).select("query", "key", "rank") for v in (side, close)]
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("query", F.col("key").alias("id")).agg(F.min("rank").alias("bm25_rank"))
+
+
+def vector_lane(queries: DataFrame, vectors: DataFrame, top: int = VECTORS) -> DataFrame:
+    """(query, id, vec_rank) of queries with a vector v; rows without a vector score 0 but are candidates."""
+    return V.top_k(queries.select("query", "v"), vectors.select(F.col("id").alias("key"), "v"), top).select("query", F.col("key").alias("id"), F.col("rank").alias("vec_rank"))
+
+
+def rrf(*ranks: Column) -> Column:
+    """Reciprocal rank fusion; a lane that found nothing counts as rank MISSING."""
+    out = F.lit(0.0)
+    for r in ranks:
+        out = out + 1.0 / (RRF_K + F.coalesce(r, F.lit(MISSING)))
+    return out
+
+
+def coverage(text: Column, words: Column) -> Column:
+    """Part of the words of three letters and more that a text holds; null for a query without such words."""
+    long = F.filter(words, lambda w: F.length(w) >= 3)
+    return F.size(F.filter(long, lambda w: F.lower(text).contains(w))) / F.nullif(F.size(long), F.lit(0))
+
+
+def coverage_factor(share: Column) -> Column:
+    return F.when(share >= 0.8, 1 + 0.5 * (share - 0.8)).otherwise(1.0)
+
+
+def activation(as_of: str) -> Column:
+    """1 to 1.12 by how often and how lately a memory was used."""
+    age = F.greatest(F.coalesce(age_days("last_accessed_at", as_of), age_days("updated_at", as_of), F.lit(0)), F.lit(0))
+    often = F.least(F.ln(F.coalesce("access_count", F.lit(0)) + 1.0) / F.ln(F.lit(21.0)), F.lit(1.0))
+    return 1 + F.least(0.07 * often + 0.05 * F.least(1 / (1 + age / 14), F.lit(1.0)), F.lit(0.12))
+
+
+def importance_factor() -> Column:
+    return 1 + 0.03 * (F.col("importance") - 3)
+
+
+def recency(as_of: str) -> Column:
+    """1.05 up to three days, falling to 1 at thirty."""
+    age = F.coalesce(age_days("updated_at", as_of), F.lit(9999))
+    return F.when(age <= 3, 1.05).when(age >= 30, 1.0).otherwise(1 + 0.05 * (30 - age) / 27)
+
+
+def intent_factor(words: Column) -> Column:
+    """Up to 1.35 where the question is after something that the memory's kind, turn or text shows."""
+    asks = {k: F.arrays_overlap(words, F.array(*(F.lit(x) for x in ws))) for k, ws in INTENT.items()}
+    low = F.lower("content")
+    turn = F.try_to_number(F.regexp_extract("id", r"__t(\d+)$", 1), F.lit("999999")).cast("int")
+    one = F.lit(1.0)
+    one = one * F.when(asks["preference"] & ((F.col("kind") == "preference") | contains_any(low, ["prefer", "préfère", "rather"])), 1.16).otherwise(1.0)
+    one = one * F.when(asks["update"] & contains_any(low, ["now ", "changed", "moved", "replace"]), 1.1).otherwise(1.0)
+    one = one * F.when(asks["temporal"] & (turn >= 20), 1.08).when(asks["temporal"] & (turn <= 2), 1.05).otherwise(1.0)
+    one = one * F.when(asks["temporal"] & low.rlike(r"\d{4}-\d\d-\d\d|monday|tuesday|wednesday|thursday|friday"), 1.05).otherwise(1.0)
+    one = one * F.when(asks["technical"] & F.col("kind").isin(*TECHNICAL_KINDS), 1.07).otherwise(1.0)
+    return F.least(one, F.lit(1.35))
+
+
+def expansion(queries: DataFrame, triples: DataFrame, entities: DataFrame, most: int = 12) -> DataFrame:
+    """(query, extra): what current facts and shared memories name beside a query's words.
+
+    Up to 3 objects and 3 subjects of facts and 4 entities a word, `most` in all, in order of word and value;
+    queries of more than 15 words have none.
+    """
+    asked = query_terms(queries).filter(F.length("term") >= 3)
+    few = asked.groupBy("query").agg(F.max("n").alias("n")).filter("n < 15").select("query")
+    words = asked.join(few, "query", "left_semi").select("query", "n", F.col("term").alias("word")).distinct()
+    now = triples.filter(K.current())
+    out = words.join(now.select(F.lower("subject").alias("word"), F.col("object").alias("extra")).distinct(), "word").withColumn("lane", F.lit(0))
+    back = words.join(now.select(F.lower("object").alias("word"), F.col("subject").alias("extra")).distinct(), "word").withColumn("lane", F.lit(1))
+    beside = words.join(G.cooccurring(entities, words.select("word").distinct()).select("word", F.col("value").alias("extra")), "word").withColumn("lane", F.lit(2))
+    every = out.unionByName(back).unionByName(beside)
+    w = Window.partitionBy("query", "word", "lane").orderBy("extra")
+    some = every.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= 3) | ((F.col("lane") == 2) & (F.col("r") <= 4)))
+    fresh = some.join(words.select("query", F.col("word").alias("extra")), ["query", "extra"], "left_anti").groupBy("query", "extra").agg(F.min(F.struct("n", "lane")).alias("o"))
+    all_ = Window.partitionBy("query").orderBy("o", "extra")
+    return fresh.withColumn("r", F.row_number().over(all_)).filter(F.col("r") <= most).groupBy("query").agg(F.array_sort(F.collect_list("extra")).alias("extra"))
+
+
+def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query, id, score, sources, ...) of all candidates: fused ranks times every factor.
+
+    queries: (query, text, v). Filters of project, kind, visibility and expiry come before the lanes.
+    """
+    rows = memories.filter(~expired(options.as_of))
+    if options.mode != "full":
+        rows = rows.filter(F.col("kind") != "credential")
+    for column, value in (("project", options.project), ("kind", options.kind)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    vec = vectors.join(rows.select("id"), "id", "left_semi")
+    lex, near = lexical_lane(queries, rows, options.weights), vector_lane(queries, vec)
+    both = cut(lex.join(near, ["query", "id"], "full"))  # at most a few hundred rows a query
+    asked = query_terms(queries).groupBy("query").agg(F.collect_list("term").alias("words"))
+    x = both.join(rows, "id").join(F.broadcast(asked), "query")  # the query table is small
+    x = x.join(F.broadcast(cut(expansion(queries, triples, entities))), "query", "left")
+    x = x.join(G.link_boosts(links), "id", "left").join(K.support(triples, options.as_of[:10]).withColumnRenamed("memory_id", "id"), "id", "left")
+    low = F.lower("content")
+    extra = F.size(F.filter(F.coalesce("extra", F.array().cast("array<string>")), lambda e: low.contains(F.lower(e))))
+    watched = sum((low.contains(k.lower()).cast("int") for k in options.keywords), F.lit(0))
+    factors = {
+        "f_coverage": coverage_factor(coverage(F.col("content"), F.col("words"))),
+        "f_intent": intent_factor(F.col("words")),
+        "f_activation": activation(options.as_of),
+        "f_importance": importance_factor(),
+        "f_recency": recency(options.as_of),
+        "f_expansion": 1 + F.least(0.04 * extra, F.lit(0.15)),
+        "f_links": 1 + F.coalesce("boost", F.lit(0.0)),
+        "f_watched": 1 + 0.2 * watched,
+        "f_tags": F.when(has_tag(*options.tags), 1.5).otherwise(0.1) if options.tags else F.lit(1.0),
+        "f_facts": K.penalty(F.coalesce("active", F.lit(0)), F.coalesce("expired", F.lit(0))),
+    }
+    x = x.withColumns(factors).withColumn("rrf", rrf(F.col("bm25_rank"), F.col("vec_rank")))
+    score = F.col("rrf")
+    for name in factors:
+        score = score * F.col(name)
+    lanes = F.filter(F.array(F.when(F.col("bm25_rank").isNotNull(), F.lit("bm25")), F.when(F.col("vec_rank").isNotNull(), F.lit("vector"))), lambda s: s.isNotNull())
+    return x.withColumn("score", score).withColumn("sources", lanes).filter(F.col("score") >= options.min_score)
+
+
+def best(candidates: DataFrame, limit: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def with_neighbours(top: DataFrame, memories: DataFrame, links: DataFrame, options: Options) -> DataFrame:
+    """top with the one-step neighbours of its first three rows, below every hit; filters hold for them too."""
+    rows = memories.filter(~expired(options.as_of))
+    if options.mode != "full":
+        rows = rows.filter(F.col("kind") != "credential")
+    for column, value in (("project", options.project), ("kind", options.kind)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    near = top.filter("rank <= 3").select("query", F.col("id").alias("node")).join(G.neighbours(links), "node").select("query", F.col("next").alias("id")).distinct()
+    low = top.groupBy("query").agg(F.min("score").alias("low"))
+    new = near.join(top.select("query", "id"), ["query", "id"], "left_anti").join(low, "query").join(rows.select("id", "content", "kind", "session_id"), "id")
+    return top.select("query", "id", "score", "sources", "content", "kind", "session_id").unionByName(
+        new.select("query", "id", (F.col("low") * options.graph_share).alias("score"), F.array(F.lit("graph")).alias("sources"), "content", "kind", "session_id")
+    )
+
+
+def greedy(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of a query in greedy order: the best first, then always the one with most for its score and its links to those chosen.
+
+    A link to a chosen row adds 5 %, at most 15 %. Scores then never rise. At most WIDE rows and their
+    neighbours a query come here.
+    """
+    near = pairs.groupBy("query").agg(F.collect_set(F.concat_ws("\u0001", "a", "b")).alias("near"))
+    joined = rows.join(F.broadcast(near), "query", "left").select("query", "id", "score", "near")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        near = pdf["near"].iloc[0]
+        linked: dict[str, set[str]] = {}
+        for p in near if near is not None else ():
+            a, b = p.split("\u0001")
+            linked.setdefault(a, set()).add(b)
+            linked.setdefault(b, set()).add(a)
+        left = list(zip(pdf["id"], pdf["score"], strict=True))
+        chosen: list[tuple[str, float]] = [left.pop(0)] if left else []
+        while left:
+            value = [s * (1 + min(0.05 * sum(c in linked.get(i, ()) for c, _ in chosen), 0.15)) for i, s in left]
+            k = max(range(len(left)), key=lambda n: (value[n], [-ord(ch) for ch in left[n][0]]))
+            chosen.append((left.pop(k)[0], value[k]))
+        return pd.DataFrame({"query": pdf["query"].iloc[0], "id": [i for i, _ in chosen], "score": [float(s) for _, s in chosen], "place": range(len(chosen))})
+
+    ordered = joined.groupBy("query").applyInPandas(run, f"query {rows.schema['query'].dataType.simpleString()}, id string, score double, place int")
+    lists = ordered.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("x"))
+    tamed = lists.withColumn("s", never_rising(F.transform("x", lambda v: v["score"])))
+    return tamed.select("query", F.explode(F.arrays_zip("x", "s")).alias("z")).select("query", "z.x.id", F.col("z.s").alias("score"), "z.x.place")
+
+
+def reranked(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Local rerank: more for texts that hold the query's longer words, or the query itself; at most 1.35 in all; four digits."""
+    asked = queries.select("query", F.lower("text").alias("asked"), F.filter(terms(F.col("text")), lambda w: F.length(w) >= 4).alias("long"))
+    x = rows.join(F.broadcast(asked), "query")
+    low = F.lower("content")
+    share = F.size(F.filter("long", lambda w: low.contains(w))) / F.nullif(F.size("long"), F.lit(0))
+    factor = F.when(share >= 0.5, 1 + 0.1 * share).otherwise(1.0) * F.when((F.length("asked") >= 12) & low.contains(F.col("asked")), 1.12).otherwise(1.0)
+    return x.withColumn("score", F.round(F.col("score") * F.least(factor, F.lit(1.35)), 4)).drop("asked", "long")
+
+
+def session_fused(rows: DataFrame, limit: int, *, least_rows: int = 8) -> DataFrame:
+    """(query, id, score, place) of the final rows: where at least eight look like turns of sessions, the best of every session first.
+
+    A session's value is 0.82 of its best score, 0.18 of the mean of its best three and a little for every
+    further hit. Leftovers follow by score. Without enough sessions it is the plain best `limit`.
+    """
+    key = F.regexp_extract("id", r"^(.*)__t\d+$", 1)
+    x = rows.withColumn("session", F.when(key != "", key))
+    q = Window.partitionBy("query")
+    s = Window.partitionBy("query", F.coalesce("session", "id"))
+    order = [F.desc("score"), F.asc("id")]
+    x = x.withColumn("rank", F.row_number().over(q.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(q)).withColumn("turns", F.count("session").over(q))
+    x = x.withColumn("sessions", F.size(F.collect_set(F.coalesce("session", "id")).over(q))).withColumn("in_session", F.row_number().over(s.orderBy(*order)))
+    three = F.avg(F.when(F.col("in_session") <= 3, F.col("score"))).over(s)
+    count = F.count(F.lit(1)).over(s)
+    value = 0.82 * F.max("score").over(s) + 0.18 * three + 0.012 * F.greatest(F.least(count, F.lit(4)) - 1, F.lit(0))
+    diverse = (F.col("n") > limit) & (F.col("turns") >= least_rows) & (F.col("sessions") >= F.least(F.lit(limit), F.lit(5)))
+    x = x.withColumn("value", value).withColumn("group", F.when(diverse & (F.col("in_session") > 1), 1).otherwise(0))
+    final = Window.partitionBy("query").orderBy("group", F.when(diverse & (F.col("group") == 0), -F.col("value")).otherwise(-F.col("score")), "rank")
+    return x.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= limit).select("query", "id", "score", "place")
+
+
+def search(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query, place, id, score, sources): the whole search, for all queries at once."""
+    wide = max(options.limit, min(3 * options.limit, WIDE))
+    top = best(fused(queries, memories, options, vectors=vectors, links=links, triples=triples, entities=entities), wide)
+    # the few rows of each query that are left are read several times: lineage ends here
+    top = cut(top.select("query", "id", "score", "sources", "content", "kind", "session_id", "rank"))
+    rows = cut(with_neighbours(top, memories, links, options))
+    topics = entities.filter(F.col("kind").isin("topic", "file", "component"))
+    pairs = G.adjacency(links, topics, rows.select("query", "id").distinct())
+    ordered = greedy(rows, pairs)
+    full = ordered.join(rows.drop("score"), ["query", "id"])
+    final = session_fused(reranked(full, queries), options.limit)
+    return final.join(rows.select("query", "id", "sources"), ["query", "id"]).select("query", "place", "id", "score", "sources")
+
+
+# --- interfaces for a cross-encoder -------------------------------------------------------------------------
+
+
+def hard_query(text: Column) -> Column:
+    """Whether a query deserves the slower model: it asks after time, preference or change, or is not English."""
+    low = F.lower(text)
+    words = F.concat(*(F.array(*(F.lit(w) for w in INTENT[k])) for k in ("temporal", "preference", "update")))
+    foreign = text.rlike("[àâçéèêëîïôùûœäöüß]|[\\u3040-\\u30ff\\u4e00-\\u9fff]|\\b(?:le|la|les|quand|quel|der|die|das|wann)\\b")
+    return F.arrays_overlap(F.split(low, "[^\\p{L}]+"), words) | foreign
+
+
+def cross_encoded(rows: DataFrame, queries: DataFrame, model, *, top: int = 12, gate: float = 0.25, weight: float = 0.55, most: int = 1400) -> DataFrame:
+    """Rows with the scores of the best `top` of hard queries mixed with a model's; the tail keeps its own.
+
+    model: a picklable factory of a function from (query, text) pairs to scores, made once a worker. A query
+    whose first row leads the third by the gate is left as it is. Texts are given to the model up to its window
+    (`most` characters); nothing else is cut.
+    """
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    x = rows.withColumn("rank", F.row_number().over(w)).join(F.broadcast(queries.select("query", "text", hard_query(F.col("text")).alias("hard"))), "query")
+    q = Window.partitionBy("query")
+    lead = (F.max(F.when(F.col("rank") == 1, F.col("score"))).over(q) - F.max(F.when(F.col("rank") == 3, F.col("score"))).over(q)) / F.max("score").over(q)
+    x = x.withColumn("take", F.col("hard") & (F.col("rank") <= top) & (F.coalesce(lead, F.lit(0.0)) < gate))
+
+    @F.pandas_udf("double")
+    def scored(it: "Iterator[tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":
+        run = model()
+        for a, b in it:
+            yield pd.Series(run(list(zip(a, b.str.slice(0, most), strict=True))), dtype=float)
+
+    y = x.filter("take").withColumn("m", scored("text", "content"))
+    scale = lambda c: (F.col(c) - F.min(c).over(q)) / F.nullif(F.max(c).over(q) - F.min(c).over(q), F.lit(0.0))
+    mixed = weight * F.coalesce(scale("m"), F.lit(0.5)) + (1 - weight) * F.coalesce(scale("score"), F.lit(0.5))
+    low, high = F.min("score").over(q), F.max("score").over(q)
+    head = y.withColumn("score", low + (high - low) * mixed).drop("m")
+    return head.unionByName(x.filter("not take")).select(*rows.columns)
+
+
+from collections.abc import Iterator  # noqa: E402
