@@ -6,6 +6,7 @@ at most `WIDE` rows a query.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -317,7 +318,7 @@ def cross_encoded(rows: DataFrame, queries: DataFrame, model, *, top: int = 12,
     x = x.withColumn("take", F.col("hard") & (F.col("rank") <= top) & (F.coalesce(lead, F.lit(0.0)) < gate))
 
     @F.pandas_udf("double")
-    def scored(it: "Iterator[tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":
+    def scored(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         run = model()
         for a, b in it:
             yield pd.Series(run(list(zip(a, b.str.slice(0, most), strict=True))), dtype=float)
@@ -329,5 +330,3 @@ def cross_encoded(rows: DataFrame, queries: DataFrame, model, *, top: int = 12,
     head = y.withColumn("score", low + (high - low) * mixed).drop("m")
     return head.unionByName(x.filter("not take")).select(*rows.columns)
 
-
-from collections.abc import Iterator  # noqa: E402

@@ -71,7 +71,7 @@ def search_factors(s, d):
     return memories(s, d).select(
         "id",
         F.round(P.coverage_factor(P.coverage(F.col("content"), words)), 6).alias("coverage"),
-        F.round(P.activation(AS_OF), 6).alias("activation"),
+        F.round(P.activation(AS_OF), 5).alias("activation"),
         F.round(P.importance_factor(), 6).alias("importance"),
         F.round(P.recency(AS_OF), 6).alias("recency"),
     )
@@ -129,7 +129,7 @@ SQL = {
         SELECT query, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM f) WHERE rank <= 10""",
     "search_factors": f"""WITH {M}, x AS (SELECT *, (CAST(contains(lower(content), 'cache') AS INT) + CAST(contains(lower(content), 'holds') AS INT) + CAST(contains(lower(content), 'entries') AS INT)) / 3 AS c,
         greatest(coalesce({AGE.format('last_accessed_at')}, {A}, 0), 0) AS used, coalesce({A}, 9999) AS age FROM m)
-        SELECT id, round(CASE WHEN c >= 0.8 THEN 1 + 0.5 * (c - 0.8) ELSE 1.0 END, 6) AS coverage, round(1 + least(0.07 * least(ln(coalesce(access_count, 0) + 1.0) / ln(21.0), 1.0) + 0.05 * least(1 / (1 + used / 14), 1.0), 0.12), 6) AS activation,
+        SELECT id, round(CASE WHEN c >= 0.8 THEN 1 + 0.5 * (c - 0.8) ELSE 1.0 END, 6) AS coverage, round(1 + least(0.07 * least(ln(coalesce(access_count, 0) + 1.0) / ln(21.0), 1.0) + 0.05 * least(1 / (1 + used / 14), 1.0), 0.12), 5) AS activation,
         round(1 + 0.03 * (importance - 3), 6) AS importance, round(CASE WHEN age <= 3 THEN 1.05 WHEN age >= 30 THEN 1.0 ELSE 1 + 0.05 * (30 - age) / 27 END, 6) AS recency FROM x""",
     "rerank_local": f"""WITH {M}, q AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ASKED.items())}) v(query, text)), x AS (SELECT query, id, lower(content) AS low, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS long FROM m, q WHERE project = 'onyx-nest'),
         y AS (SELECT *, len(list_filter(long, lambda w: contains(low, w))) / len(long) AS c FROM x)
