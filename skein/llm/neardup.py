@@ -56,7 +56,7 @@ def size_class(n: np.ndarray) -> np.ndarray:
 
 def segments(kind: np.ndarray) -> np.ndarray:
     """Segments of a size class: 1, 2, 8, 32, ...; up to 16 words in each."""
-    return np.maximum(1, 2 * 4 ** (kind - 1)).astype(np.int64)
+    return np.where(kind > 0, 2 * 4 ** np.maximum(kind - 1, 0), 1).astype(np.int64)
 
 
 class Radius:
