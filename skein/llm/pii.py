@@ -30,15 +30,16 @@ LOW = "a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřś
 CAP = rf"[{UP}][{LOW}]+(?:[-’'][{UP}]?[{LOW}]+)*|[{UP}][’'][{UP}][{LOW}]+"
 PARTICLE = r"(?:de la|van der|van den|von der|de|del|della|di|da|dos|du|des|van|von|zu|le|la|den|der|ten|ter|bin|ibn|ben|al|el|af|av|st\.?)"
 INITIAL = rf"[{UP}]\."
-NAMES = re.compile(rf"(?<![\w@/.-])(?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/])(?:(?: {INITIAL}|,? {PARTICLE}(?= [{UP}])|,? (?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]))){{1,7}}")
+NAMES = re.compile(rf"(?<![\w@/.-])(?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d)(?:(?: {INITIAL}|,? {PARTICLE}(?= [{UP}])|,? (?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d))){{1,7}}")
 NAME_TOKEN = re.compile(rf"{PARTICLE}(?= )|{INITIAL}|[{UP}{LOW}][{UP}{LOW}’'-]*|,")
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%'-]+@[A-Za-z0-9](?:[\w-]*\w)?(?:\.[A-Za-z0-9][\w-]*)+", re.A)
 _AT, _DOT = r"(?:\s?[\[({<]\s?(?:at|AT|arobase|chez|ät)\s?[\])}>]\s?| (?:at|AT|arobase) |\s@\s)", r"(?:\s?[\[({<]\s?(?:dot|DOT|point|punkt)\s?[\])}>]\s?| (?:dot|DOT|point) |\.)"
 EMAIL_WRITTEN = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w+-]*(?:{_DOT}[\w+-]+)*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z][\w-]*)+", re.A)
 
-PHONE = re.compile(r"(?<![\w.@/=-])(?:(?:\+|00)\d{1,3}[ .\-/]?)?(?:\(0?\d{1,5}\)[ .\-/]?)?\d{2,5}(?:[ .\-/]\d{2,5}){0,5}(?![\w@])|(?<![\w.@/=-])(?:\+|00)\d{8,15}(?!\w)|(?<![\w.@/=-])(?:\+\d{1,3}[ .\-])?\d(?:[ .\-]\d{2}){4}(?![\w@])|(?<![\w.@/=-])(?:\+\d{1,3}[ .\-]|00\d{1,3}[ .\-])\d(?:[ .\-]\d{2,3}){2,5}(?![\w@])")
-
+PHONE = re.compile(
+    r"(?<![\w.@/=-])(?:(?:(?:\+|00)\d{1,3}[ .\-])?\d(?:[ .\-]\d{2}){4}|(?:\+|00)\d{1,3}[ .\-]\d(?:[ .\-]\d{2,4}){2,5}|(?:\+|00)\d{8,15}|(?:(?:\+|00)\d{1,3}[ .\-/]?)?(?:\(0?\d{1,5}\)[ .\-/]?)?\d{2,5}(?:[ .\-/]\d{2,8}){0,5})(?![\w@])"
+)
 DATE = re.compile(r"(?:19|20)\d\d([-./])(?:0\d|1[0-2])\1[0-3]\d(?!\d)|[0-3]?\d([-./])(?:0?\d|1[0-2])\2(?:19|20)\d\d(?!\d)")
 
 ID = re.compile(
@@ -98,7 +99,7 @@ AFTER = {
 }
 AFTER = {k: frozenset(v) for k, v in AFTER.items()}
 ROLE = frozenset("git noreply no-reply root admin support info team ops hello contact sales billing security postmaster webmaster abuse deploy ci bot build jenkins svc service alerts help office hostmaster daemon mailer".split())
-SURNAME = ("son sen ska ski sky ic ić enko chuk ko mann dorf etti elli ini ino quist ström strom worth field berg stein eau eaux oux ière iere ault mont ez ova ov kova ikova wick ford ton ley man er hagen stad sson gaard lund dal by brook ham esh ukar ado ander oulet ovic owska owski wski".split())
+SURNAME = ("son sen ska ski sky ic ić enko chuk ko mann dorf etti elli ini ino quist ström strom worth field berg stein eau eaux oux ière iere ault mont ez ova ov kova ikova wick ford ton ley man er hagen stad sson gaard lund dal by brook ham esh ukar ado ander oulet ovic owska owski wski mans kens sens ens ink ijk".split())
 
 LEFT_WORD = re.compile(r"[^\s,;:|\"'(){}\[\]=]+|[<]|--")
 RIGHT_WORD = re.compile(r"[^\s,;|\"'(){}\[\]=]+")
@@ -220,6 +221,8 @@ class _Writer:
         return x.replace("oe", "oë").replace("eli", "éli") if self.r.random() < 0.08 else x
 
     def surname(self) -> str:
+        if self.r.random() < 0.3:  # of no known shape
+            return self.syllables(self.r.choice([2, 2, 3])).capitalize() + self.pick("", "n", "s", "rs", "ns", "k", "t", "mans", "lt", "x")
         return (self.r.choice("Vas Kel Bren Hol Mor Stor Pel Lund Wil Kar Alt Ros Ser Bel Cad Dun Fer Gal Nor Ost Thal".split()) if self.r.random() < 0.5 else self.syllables(1).capitalize() + self.pick("", "n", "l", "r")) + self.r.choice(SURNAME)
 
     def name(self) -> str:
@@ -230,14 +233,14 @@ class _Writer:
             last = self.pick("de", "von", "van", "del", "di", "van der", "de la", "al") + " " + last
         middle = f" {self.pick(*'ABCDEFGHJKLMNPRST')}." if self.r.random() < 0.15 else ""
         x = self.r.random()
-        if x < 0.72:
+        if x < 0.6 or (x >= 0.85 and " " in last):
             return f"{first}{middle} {last}"
-        return f"{last}, {first}{middle}" if x < 0.87 else f"{last.upper() if ' ' not in last else last} {first}{middle}" if ' ' not in last else f"{first} {last}"
+        return f"{last}, {first}{middle}" if x < 0.85 else f"{last.upper()} {first}{middle}"
 
     def email(self) -> str:
         a, b = self.first_name().lower().translate(ACCENTS), self.surname().lower().translate(ACCENTS)
-        local = self.pick(f"{a}.{b}", f"{a}_{b}", f"{a[0]}{b}", f"{a}{self.r.randint(1, 99)}", f"{b}-{a}", f"{a}+{self.word()}", b, f"{b}_{a}")
-        host = self.pick("", "", "mail.", "post.", "team.") + self.word() + self.pick(".com", ".org", ".example", ".example.com", ".test", ".net", ".fr", ".de", ".invalid", ".example.org", ".co.uk")
+        local = self.pick(f"{a}.{b}", f"{a}_{b}", f"{a[0]}{b}", f"{a}{self.r.randint(1, 99)}", f"{b}-{a}", f"{a}+{self.word().translate(ACCENTS)}", b, f"{b}_{a}")
+        host = self.pick("", "", "mail.", "post.", "team.") + self.word().translate(ACCENTS) + self.pick(".com", ".org", ".example", ".example.com", ".test", ".net", ".fr", ".de", ".invalid", ".example.org", ".co.uk")
         x = self.r.random()
         if x < 0.08:
             return f"{local.replace('.', ' [dot] ')} [at] {host.replace('.', ' [dot] ')}"
@@ -281,7 +284,7 @@ class _Writer:
         post, tick, date = self.digits("Dd" + "ddd"), self.digits(self.pick("OPS-", "KG-", "WEB-") + "Dddd"), self.digits(self.pick("2024-0D-1d", "0D.1d", "1d/0D/2024"))
         name, email, phone, addr = self.name(), self.email(), self.phone(), self.address()
         label, number = self.id()
-        place = self.pick(f", {city}", f", {city} {post}", f", {post} {city}", "", f" {city}")
+        place = self.pick(f", {city}", f", {city} {post}", f", {post} {city}", "")
         title = self.pick("", "", "Mr. ", "Dr. ", "Prof. ", "Mme ", "M. ", "Ms. ", "Herr ")
         ext = self.pick("", "", " ext. " + self.digits("dd"), " x" + self.digits("dd"))
         good = [
@@ -381,7 +384,7 @@ def trained(texts: int = TEXTS, seed: int = 7) -> Model:
     trees, thresholds = [], []
     for k in range(len(TYPES)):
         a, b = (kinds == k) & ~held, (kinds == k) & held
-        model = calibrated(fit(x[a], y[a]), x[b], y[b])
+        model = calibrated(fit(x[a], y[a], trees=80), x[b], y[b])
         trees.append(model)
         thresholds.append(best_threshold(model.probability(x[b]), y[b]))
     return Model(tuple(trees), tuple(thresholds))
