@@ -29,19 +29,33 @@ def lengths(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key).alias("key"), total.alias("len"))
 
 
-def match_terms(index: DataFrame, asked: DataFrame, *, prefix: bool) -> DataFrame:
-    """(query, n, key, field, tf): hits of the query's n-th term, which with prefix=True matches every term it begins.
+def matched_terms(index: DataFrame, asked: DataFrame, *, prefix: bool) -> DataFrame:
+    """(query, n, term): the terms of the index that the query's n-th term stands for: itself, or with prefix=True all it begins.
 
-    asked: (query, n, term), a query table of checked size. A prefix match is an equality join on all prefixes
-    of the query terms' length, not a theta join.
+    Prefixes are looked up in the vocabulary only, by equality on the prefixes of the query terms' lengths.
     """
     if not prefix:
-        return index.join(F.broadcast(asked), "term").select("query", "n", "key", "field", "tf")
+        return F.broadcast(asked)
     sized = asked.withColumn("size", F.length("term"))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]  # lengths of words, a few
-    cut = index.select("key", "field", "tf", F.explode(F.array_distinct(F.transform(F.array(*(F.lit(x) for x in sizes or [1])), lambda x: F.struct(x.alias("size"), F.substring(F.col("term"), F.lit(1), x).alias("term"))))).alias("p"), F.length("term").alias("full")).filter("full >= p.size")
-    hits = cut.select("key", "field", "tf", "p.size", "p.term").join(F.broadcast(sized), ["term", "size"])
-    return hits.groupBy("query", "n", "key", "field").agg(F.sum("tf").alias("tf"))
+    heads = F.filter(F.array(*(F.struct(F.lit(x).alias("size"), F.substring("term", 1, x).alias("head")) for x in sizes or [1])), lambda h: F.length("term") >= h["size"])
+    vocabulary = index.select("term").distinct().select("term", F.explode(heads).alias("h")).select("term", "h.size", "h.head")
+    return vocabulary.join(F.broadcast(sized.withColumnRenamed("term", "head")), ["head", "size"]).select("query", "n", "term")
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    """(query, n, key, field, tf) of matched tokens or postings."""
+    total = F.sum("tf") if "tf" in tokens.columns else F.count(F.lit(1))
+    return tokens.groupBy("query", "n", "key", "field").agg(total.alias("tf"))
+
+
+def match_terms(index: DataFrame, asked: DataFrame, *, prefix: bool) -> DataFrame:
+    """(query, n, key, field, tf): hits of the query's n-th term.
+
+    index: postings, or positions, which are met by the few terms before anything is counted or shuffled.
+    asked: (query, n, term), a query table of checked size.
+    """
+    return counted(index.join(matched_terms(index, asked, prefix=prefix), "term"))
 
 
 def all_terms(hits: DataFrame, asked: DataFrame) -> DataFrame:

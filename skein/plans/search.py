@@ -66,14 +66,16 @@ def lexical_lane(queries: DataFrame, rows: DataFrame, weights: dict[str, float]
     """(query, id, bm25_rank): the best rank over the variants: all words as prefixes, side by side, near each other."""
     asked = query_terms(queries)
     fields = fields_of(rows)
-    index, places, sizes = L.postings(rows, "id", fields), L.positions(rows, "id", fields), L.lengths(rows, "id", fields)
-    hits = cut(L.match_terms(index, asked, prefix=True))
-    full = L.rank(L.bm25(L.all_terms(hits, asked), sizes, weights), FIRST_VARIANT)
-    exact = L.bm25(L.match_terms(index, asked, prefix=False), sizes, weights)
+    # one pass over the texts: the tokens that any variant can use, which are few, end in a table of their own
+    places, sizes = L.positions(rows, "id", fields), cut(L.lengths(rows, "id", fields))
+    tokens = cut(places.join(L.matched_terms(places, asked, prefix=True), "term"))
+    full = L.rank(L.bm25(L.all_terms(L.counted(tokens), asked), sizes, weights), FIRST_VARIANT)
+    own = tokens.join(F.broadcast(asked), ["query", "n", "term"])
+    exact, whole = L.bm25(L.counted(own), sizes, weights), own.select("key", "field", "term", "pos").distinct()
     several = asked.groupBy("query").agg(F.count(F.lit(1)).alias("k")).filter("k between 2 and 8").select("query")
     short = asked.filter("n < 6").join(several, "query", "left_semi")
-    side = L.phrase(places, short).select("query", "key").distinct()
-    close = L.near(places, asked.filter("n < 5").join(several, "query", "left_semi")).select("query", "key").distinct()
+    side = L.phrase(whole, short).select("query", "key").distinct()
+    close = L.near(whole, asked.filter("n < 5").join(several, "query", "left_semi")).select("query", "key").distinct()
     ranked = [full.select("query", "key", "rank")] + [L.rank(exact.join(v, ["query", "key"]), OTHER_VARIANTS).select("query", "key", "rank") for v in (side, close)]
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("query", F.col("key").alias("id")).agg(F.min("rank").alias("bm25_rank"))
 

@@ -35,7 +35,7 @@ def document_frequency(s, d):
 
 def prefix_match(s, d):
     q = asked(s)
-    hits = L.all_terms(L.match_terms(L.postings(memories(s, d), "id", fields()), q, prefix=True), q)
+    hits = L.all_terms(L.match_terms(L.positions(memories(s, d), "id", fields()), q, prefix=True), q)
     return hits.select("query", F.col("key").alias("id")).distinct()
 
 
@@ -51,14 +51,14 @@ def near_match(s, d):
 def bm25_scores(s, d):
     q = asked(s)
     m = memories(s, d)
-    hits = L.all_terms(L.match_terms(L.postings(m, "id", fields()), q, prefix=True), q)
+    hits = L.all_terms(L.match_terms(L.positions(m, "id", fields()), q, prefix=True), q)
     return L.bm25(hits, L.lengths(m, "id", fields())).select("query", F.col("key").alias("id"), F.round("score", 6).alias("score"))
 
 
 def bm25_top10(s, d):
     q = asked(s)
     m = memories(s, d)
-    hits = L.match_terms(L.postings(m, "id", {"content": F.col("content")}), q, prefix=False)
+    hits = L.match_terms(L.positions(m, "id", {"content": F.col("content")}), q, prefix=False)
     scored = L.bm25(hits, L.lengths(m, "id", {"content": F.col("content")}), {}).withColumn("score", F.round("score", 6))
     return L.rank(scored, 10).withColumnRenamed("key", "id")
 

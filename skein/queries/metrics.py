@@ -23,7 +23,7 @@ def self_results(s, d):
     words = cut(q.select("query", F.posexplode(F.split("text", " ")).alias("n", "term")))
     m = memories(s, d)
     f = {"content": F.col("content")}
-    scored = L.bm25(L.match_terms(L.postings(m, "id", f), words, prefix=False), L.lengths(m, "id", f), {}).withColumn("score", F.round("score", 6))
+    scored = L.bm25(L.match_terms(L.positions(m, "id", f), words, prefix=False), L.lengths(m, "id", f), {}).withColumn("score", F.round("score", 6))
     return L.rank(scored, 10).select("query", F.col("key").alias("id"), "rank")
 
 

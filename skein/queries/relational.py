@@ -201,13 +201,13 @@ SQL = {
     "stats_by_kind": f"WITH {M} SELECT coalesce(kind, '(global)') AS kind, count(*) AS n FROM m GROUP BY 1",
     "stats_by_project": f"WITH {M} SELECT coalesce(project, '(global)') AS project, count(*) AS n FROM m GROUP BY 1",
     "stats_by_importance": f"WITH {M} SELECT CAST(importance AS VARCHAR) AS importance, count(*) AS n FROM m GROUP BY 1",
-    "store_stats": f"WITH {M} SELECT count(*) AS total, count_if({EXP}) AS expired_pending, count(DISTINCT project) AS projects, count(DISTINCT kind) AS kinds, sum(access_count) AS accesses FROM m",
-    "hygiene_counts": f"""WITH {M}, {P} SELECT count(*) AS total, count_if(project IS NULL) AS no_project, count_if(len(tags) = 0) AS no_tags, count_if({EXP}) AS expired, count_if({PIN}) AS pinned, count_if(trim(content) = '') AS "empty",
-        count_if(coalesce(access_count, 0) = 0) AS never_used, count_if(updated_at > {TS}) AS future_update,
+    "store_stats": f"WITH {M} SELECT count(*) AS total, count(*) FILTER (WHERE {EXP}) AS expired_pending, count(DISTINCT project) AS projects, count(DISTINCT kind) AS kinds, CAST(sum(access_count) AS BIGINT) AS accesses FROM m",
+    "hygiene_counts": f"""WITH {M}, {P} SELECT count(*) AS total, count(*) FILTER (WHERE project IS NULL) AS no_project, count(*) FILTER (WHERE len(tags) = 0) AS no_tags, count(*) FILTER (WHERE {EXP}) AS expired, count(*) FILTER (WHERE {PIN}) AS pinned, count(*) FILTER (WHERE trim(content) = '') AS "empty",
+        count(*) FILTER (WHERE coalesce(access_count, 0) = 0) AS never_used, count(*) FILTER (WHERE updated_at > {TS}) AS future_update,
         (SELECT count(*) FROM (SELECT source_id AS x FROM memory_links UNION ALL SELECT target_id FROM memory_links) WHERE x IS NOT NULL AND x NOT IN (SELECT id FROM m)) AS orphan_link_ends,
-        count_if(project IS NOT NULL AND project NOT IN (SELECT slug FROM p WHERE slug IS NOT NULL)) AS unknown_project FROM m""",
-    "health_counts": f"""WITH {M} SELECT count(*) AS total, count_if({PIN}) AS pinned, count_if(list_contains(tags, 'session_capsule')) AS capsules, count_if({AGE.format('updated_at')} > 30 AND importance <= 2) AS stale,
-        count_if({AGE.format('updated_at')} > 30 AND importance <= 3 AND NOT ({PIN} OR list_contains(tags, 'session_capsule'))) AS compressible, round(avg({AGE.format('updated_at')}), 1) AS average_age, sum(length(content)) AS characters,
+        count(*) FILTER (WHERE project IS NOT NULL AND project NOT IN (SELECT slug FROM p WHERE slug IS NOT NULL)) AS unknown_project FROM m""",
+    "health_counts": f"""WITH {M} SELECT count(*) AS total, count(*) FILTER (WHERE {PIN}) AS pinned, count(*) FILTER (WHERE list_contains(tags, 'session_capsule')) AS capsules, count(*) FILTER (WHERE {AGE.format('updated_at')} > 30 AND importance <= 2) AS stale,
+        count(*) FILTER (WHERE {AGE.format('updated_at')} > 30 AND importance <= 3 AND NOT ({PIN} OR list_contains(tags, 'session_capsule'))) AS compressible, round(avg({AGE.format('updated_at')}), 1) AS average_age, CAST(sum(length(content)) AS BIGINT) AS characters,
         (SELECT count(*) FROM (SELECT DISTINCT source_id, target_id FROM memory_links WHERE source_id NOT IN (SELECT id FROM m) OR target_id NOT IN (SELECT id FROM m))) AS orphan_links FROM m""",
     "project_slugs": f"WITH {P}, {ID} SELECT slug, path, description, {fmt.format('created_at')} AS created_at FROM ids",
     "project_counts": f"WITH {M}, {P} SELECT x.slug AS project, count(m.id) AS n FROM (SELECT DISTINCT slug FROM p WHERE slug IS NOT NULL) x LEFT JOIN m ON m.project = x.slug GROUP BY 1",

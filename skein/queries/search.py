@@ -57,7 +57,7 @@ def hybrid_rrf_top10(s, d):
     q = s.createDataFrame([(k, t, v) for k, (t, v) in FUSED.items()], "query string, text string, vec_id long")
     words = q.select("query", F.posexplode(terms(F.col("text"))).alias("n", "term"))
     field = {"text": F.col("text")}
-    scored = L.bm25(L.match_terms(L.postings(docs, "id", field), words, prefix=False), L.lengths(docs, "id", field), {}).withColumn("score", F.round("score", 6))
+    scored = L.bm25(L.match_terms(L.positions(docs, "id", field), words, prefix=False), L.lengths(docs, "id", field), {}).withColumn("score", F.round("score", 6))
     lex = L.rank(scored, 150).select("query", F.col("key").alias("id"), F.col("rank").alias("bm25_rank"))
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     near = V.top_k(q.join(e, "vec_id").select("query", "v"), e.select(F.col("vec_id").alias("key"), "v"), 100).select("query", F.col("key").alias("id"), F.col("rank").alias("vec_rank"))
@@ -130,7 +130,7 @@ SQL = {
     "search_factors": f"""WITH {M}, x AS (SELECT *, (CAST(contains(lower(content), 'cache') AS INT) + CAST(contains(lower(content), 'holds') AS INT) + CAST(contains(lower(content), 'entries') AS INT)) / 3 AS c,
         greatest(coalesce({AGE.format('last_accessed_at')}, {A}, 0), 0) AS used, coalesce({A}, 9999) AS age FROM m)
         SELECT id, round(CASE WHEN c >= 0.8 THEN 1 + 0.5 * (c - 0.8) ELSE 1.0 END, 6) AS coverage, round(1 + least(0.07 * least(ln(coalesce(access_count, 0) + 1.0) / ln(21.0), 1.0) + 0.05 * least(1 / (1 + used / 14), 1.0), 0.12), 5) AS activation,
-        round(1 + 0.03 * (importance - 3), 6) AS importance, round(CASE WHEN age <= 3 THEN 1.05 WHEN age >= 30 THEN 1.0 ELSE 1 + 0.05 * (30 - age) / 27 END, 6) AS recency FROM x""",
+        round(CAST(1 + 0.03 * (importance - 3) AS DOUBLE), 6) AS importance, round(CASE WHEN age <= 3 THEN 1.05 WHEN age >= 30 THEN 1.0 ELSE 1 + 0.05 * (30 - age) / 27 END, 6) AS recency FROM x""",
     "rerank_local": f"""WITH {M}, q AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ASKED.items())}) v(query, text)), x AS (SELECT query, id, lower(content) AS low, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS long FROM m, q WHERE project = 'onyx-nest'),
         y AS (SELECT *, len(list_filter(long, lambda w: contains(low, w))) / len(long) AS c FROM x)
         SELECT query, id, round(0.5 * least(CASE WHEN c >= 0.5 THEN 1 + 0.1 * c ELSE 1.0 END * CASE WHEN length(text) >= 12 AND contains(low, lower(text)) THEN 1.12 ELSE 1.0 END, 1.35), 4) AS score FROM y""",

@@ -81,7 +81,7 @@ SQL = {
     "kg_query_entity_as_of": f"WITH {T}, u AS (SELECT * FROM t WHERE {ASOF.format('2025-03-01')}) {ABOUT.format('u')}",
     "kg_timeline": f"WITH {T} SELECT id, strftime(v, '%Y-%m-%d') AS valid_from, subject FROM (SELECT id, valid_from AS v, subject FROM t ORDER BY valid_from NULLS LAST, id LIMIT 100)",
     "kg_timeline_entity": f"WITH {T} SELECT id, strftime(valid_from, '%Y-%m-%d') AS valid_from, predicate FROM t WHERE subject = 'onyx-nest' OR object = 'onyx-nest'",
-    "kg_stats": f"""WITH {T} SELECT count(*) AS total, count_if(valid_to IS NULL) AS current, count_if(valid_to IS NOT NULL) AS expired, list_sort(list(DISTINCT predicate)) AS predicates,
+    "kg_stats": f"""WITH {T} SELECT count(*) AS total, count(*) FILTER (WHERE valid_to IS NULL) AS current, count(*) FILTER (WHERE valid_to IS NOT NULL) AS expired, list_sort(list(DISTINCT predicate)) AS predicates,
         (SELECT count(*) FROM (SELECT subject FROM t UNION SELECT object FROM t)) AS entities FROM t""",
     "kg_entities": f"WITH {T} SELECT subject AS entity FROM t UNION SELECT object FROM t",
     "triple_support": f"WITH {T}, {SUPPORT} SELECT * FROM s",
