@@ -57,7 +57,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     else:
         blocks = max(2, -(-queries.count() // BROADCAST_ROWS))
         q = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-        pairs = corpus.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(q, "block")
+        pairs = corpus.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
     scored = pairs.select("query", "key", dot(F.col("v"), F.col("qv")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
