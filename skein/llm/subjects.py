@@ -32,6 +32,9 @@ WORDS = 100_000
 #: A word tells a subject if it has this part of the word's sentences, this many times its usual part, and this many sentences.
 PURE, LIFT, SEEN = 0.5, 2.5, 3
 FUNCTIONS = ("lexicon", "address", "section", "source", "label")
+#: How often a function may vote on a sentence without a subject. Votes of one function alone do not tell this from how common
+#: the subjects are, so it is bounded: words of a lexicon hardly ever, a source or a document's label as often as not.
+LOUD = (0.02, 0.05, 0.1, 0.9, 0.9)
 
 FENCE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 LEAD = re.compile(r"\s*(?:(?:[-*>•]|\d+[.)])\s+|(?:USER|ASSISTANT|SYSTEM|User|Assistant|System)\s?:\s+|\[[A-Z_]+:\d+\]\s*)+")
@@ -110,8 +113,8 @@ def latent(patterns: list[tuple[tuple[int, ...], float]], subjects: int, rounds:
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], np.float64)
     m, j = votes.shape
-    silent, right, loud = np.full(j, 0.3), np.full(j, 0.85), np.full(j, 0.05)
-    right[3], loud[3] = 0.4, 0.5  # a source says little
+    silent, right, loud = np.full(j, 0.3), np.full(j, 0.85), np.array(LOUD[:j])
+    right[3] = 0.4  # a source says little
     prior = np.full(subjects + 1, 0.6 / subjects)
     prior[subjects] = 0.4
     post = np.zeros((m, subjects + 1))
@@ -141,7 +144,7 @@ def latent(patterns: list[tuple[tuple[int, ...], float]], subjects: int, rounds:
             # Beta priors keep what the data do not tell near the start; a lexicon vote is taken for right more often than not
             right[f] = np.clip((hit + 8) / (said + 10), 1.5 / subjects, 0.995)
             silent[f] = np.clip(1 - said / with_subject, 0.01, 0.99)
-            loud[f] = np.clip((w[some, subjects].sum() + 0.5) / without, 0.001, 0.9)
+            loud[f] = np.clip((w[some, subjects].sum() + 0.5) / without, 0.001, LOUD[f])
     return {p: post[i] for i, (p, _) in enumerate(patterns)}
 
 
@@ -163,7 +166,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, sh
     per_doc = cut(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("k")).alias("ks")).select("doc_id", F.when(F.size("ks") > 1, F.array_remove("ks", count)).otherwise(F.col("ks")).alias("ks")))
     seeds: dict[str, np.ndarray] = {}
     for k, r in enumerate(rows):
-        for w in words(r["d"] or ""):
+        for w in (w for w in words(r["d"] or "") if len(w) > 5):
             seeds.setdefault(w, np.full(count, -1.0))[k] = 2.0
     seeds = {w: v for w, v in seeds.items() if (v > 0).sum() == 1}
 
@@ -193,7 +196,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, sh
 
     schema = "word string, subject int, n double"
     from_labels = spread(docs.join(per_doc, "doc_id").select("text", "ks")).mapInArrow(first, schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    lexicon = seeds | _counted(cut(from_labels), count)
+    lexicon = _counted(cut(from_labels), count) or seeds
     everything = spread(docs.select("text")).mapInArrow(again(spark.sparkContext.broadcast(lexicon)), schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
     learned = _counted(cut(everything), count)
     lexicon = learned or lexicon

@@ -147,7 +147,7 @@ def test_subjects_held_out(spark):
         if i % 2:
             labels.append((i, f" {s.upper()} " if s else None))
     docs += [(900, None, "src"), (901, "", None), (902, "  ", "x"), docs[0]]
-    areas = spark.createDataFrame([("sport", "Sport", "matches and teams"), ("music", "Music", "instruments and concerts")], "subject string, title string, description string")
+    areas = spark.createDataFrame([("sport", "Sport", "matches and teams"), ("music", "Music", "the instruments and the concerts")], "subject string, title string, description string")
     got = U.subjects_of(spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame([*labels, (12345, "sport"), (1, "odd code")], "doc_id long, subject string"), areas).collect()
     found = collections.defaultdict(set)
     for r in got:
