@@ -29,8 +29,10 @@ from skein.session import cut, spread
 SHARE = 0.25
 #: Most words of a lexicon, the most frequent ones; this bounds what is broadcast.
 WORDS = 100_000
-#: A word tells a subject if it has this part of the word's sentences, this many times its usual part, and this many sentences.
+#: A word tells a subject if it has this part of the word's sentences, odds this many times its usual ones, and this many sentences.
 PURE, LIFT, SEEN = 0.5, 2.5, 3
+#: How often the lexicon is learned again from the sentences of all documents.
+ROUNDS = 2
 FUNCTIONS = ("lexicon", "address", "section", "source", "label")
 #: How often a function may vote on a sentence without a subject. Votes of one function alone do not tell this from how common
 #: the subjects are, so it is bounded: words of a lexicon hardly ever, a source or a document's label as often as not.
@@ -67,7 +69,7 @@ def words(sentence: str) -> set[str]:
 
 
 def vote(found: set[str], lexicon: dict[str, np.ndarray]) -> int:
-    """The subject that the words of the lexicon speak for, by summed log lifts; -1: none."""
+    """The subject that the words of the lexicon speak for, by summed log odds; -1: none."""
     score = None
     for w in found:
         v = lexicon.get(w)
@@ -80,7 +82,7 @@ def vote(found: set[str], lexicon: dict[str, np.ndarray]) -> int:
 
 
 def _counted(parts: DataFrame, subjects: int) -> dict[str, np.ndarray]:
-    """The lexicon of (word, subject, n): log lifts by subject of the telling words. Subject number `subjects` is none."""
+    """The lexicon of (word, subject, n): log odds against the usual ones, by subject, of the telling words. Subject number `subjects` is none."""
     total = {r["subject"]: r["n"] for r in parts.groupBy("subject").agg(F.sum("n").alias("n")).collect()}  # at most subjects + 1 rows
     prior = np.array([total.get(k, 0.0) + 1e-6 for k in range(subjects + 1)])
     prior /= prior.sum()
@@ -88,12 +90,14 @@ def _counted(parts: DataFrame, subjects: int) -> dict[str, np.ndarray]:
     part = [(F.col(f"s{k}") + F.lit(float(prior[k]))) / (F.col("seen") + 1) for k in range(subjects)]
     telling = F.lit(False)
     for k in range(subjects):
-        telling = telling | ((part[k] >= PURE) & (part[k] >= LIFT * float(prior[k])))
+        odds = LIFT * float(prior[k] / max(1 - prior[k], 1e-9))
+        telling = telling | ((part[k] >= PURE) & (part[k] >= F.lit(odds / (1 + odds))))
     rows = wide.filter((F.col("seen") >= SEEN) & telling).orderBy(F.desc("seen"), "word").limit(WORDS).collect()
     out = {}
     for r in rows:
         q = (np.array([r[f"s{k}"] for k in range(subjects)]) + prior[:subjects]) / (r["seen"] + 1)
-        out[r["word"]] = np.log(np.maximum(q / prior[:subjects], 1e-2))
+        q, usual = np.clip(q, 1e-2, 0.99), np.clip(prior[:subjects], 1e-6, 0.99)
+        out[r["word"]] = np.log(q / (1 - q)) - np.log(usual / (1 - usual))
     return out
 
 
@@ -197,9 +201,9 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, sh
     schema = "word string, subject int, n double"
     from_labels = spread(docs.join(per_doc, "doc_id").select("text", "ks")).mapInArrow(first, schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
     lexicon = _counted(cut(from_labels), count) or seeds
-    everything = spread(docs.select("text")).mapInArrow(again(spark.sparkContext.broadcast(lexicon)), schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    learned = _counted(cut(everything), count)
-    lexicon = learned or lexicon
+    for _ in range(ROUNDS):
+        everything = spread(docs.select("text")).mapInArrow(again(spark.sparkContext.broadcast(lexicon)), schema).groupBy("word", "subject").agg(F.sum("n").alias("n"))
+        lexicon = _counted(cut(everything), count) or lexicon
     # what the labelled documents of a source are about, if one subject stands out
     about = docs.join(per_doc, "doc_id").select(F.lower(F.trim("source")).alias("source"), F.explode("ks").alias("k")).filter("source is not null")
     ranked = about.groupBy("source", "k").count().groupBy("source").agg(F.max_by("k", "count").alias("k"), F.max("count").alias("most"), F.sum("count").alias("all"))

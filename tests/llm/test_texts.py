@@ -130,7 +130,7 @@ def test_latent_model_learns_who_is_right():
         third = y if rnd.random() < 0.9 else rnd.randrange(3)
         counts[good, -1, third, poor, -1] += 1
     post = U.latent([(p, float(n)) for p, n in counts.items()], 3)
-    assert all(p[0] == post[p].argmax() for p in post if p[0] == p[2]) and post[0, -1, 1, 1, -1].argmax() == 0
+    assert all(p[0] == post[p].argmax() for p in post if p[0] == p[2]) and post[0, -1, 1, 2, -1].argmax() == 0
 
 
 def test_subjects_held_out(spark):
