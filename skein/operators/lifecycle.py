@@ -18,15 +18,20 @@ PROTECTED_KINDS = ("credential", "architecture", "preference")
 STOP = "the and for with that this from are was were not you has have its into only then when after before under over than one two les des une est pour dans avec sur pas que qui par plus".split()
 
 
+def word_sets(df: DataFrame, key: str, text: str, bucket: list[str], least_length: int) -> DataFrame:
+    """(key, bucket, w, text): the sorted words of a row, and its bucket as one value; null buckets are equal to each other."""
+    words = F.filter(word_set(F.col(text)), lambda w: F.length(w) >= least_length)
+    return df.select(F.col(key).alias("key"), F.concat_ws("\u0001", *(F.coalesce(F.col(b).cast("string"), F.lit("\u0002")) for b in bucket)).alias("bucket"), F.array_sort(words).alias("w"), F.col(text).alias("text"))
+
+
 def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], threshold: float, least_length: int = 1) -> DataFrame:
     """(a, b, similarity) of rows of one bucket whose word sets have at least the threshold; exact, without all pairs.
 
     Rows with equal word sets are one class; a class shows the words of its prefix, rarest first, that any
     partner must share (prefix filter), so only rows with a rare word in common meet. Pairs are those of the
-    classes' representatives (smallest key); equal rows are found by members_of_classes().
+    classes' representatives (smallest key); the other rows of a class are found by copies().
     """
-    words = F.filter(word_set(F.col(text)), lambda w: F.length(w) >= least_length)
-    rows = df.select(F.col(key).alias("key"), F.concat_ws("\u0001", *(F.coalesce(F.col(b).cast("string"), F.lit("\u0002")) for b in bucket)).alias("bucket"), F.array_sort(words).alias("w"))
+    rows = word_sets(df, key, text, bucket, least_length)
     classes = cut(rows.groupBy("bucket", "w").agg(F.min("key").alias("key")).filter("size(w) > 0"))
     seen = classes.select("bucket", F.explode("w").alias("t")).groupBy("bucket", "t").agg(F.count(F.lit(1)).alias("df"))
     spread = classes.select("bucket", "key", F.size("w").alias("n"), F.explode("w").alias("t")).join(seen, ["bucket", "t"])
@@ -41,6 +46,31 @@ def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], thr
     return both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
 
 
+def copies(df: DataFrame, key: str, text: str, bucket: list[str], least_length: int = 1, *, wordless: bool = False) -> DataFrame:
+    """(representative, member): every further row of a class of similar_word_sets, beside the class's smallest key.
+
+    With wordless, equal texts without any word are classes too; they have no similar ones.
+    """
+    said = F.when(F.size("w") > 0, F.concat_ws(" ", F.lit("w"), F.concat_ws(" ", "w")))
+    if wordless:
+        said = F.coalesce(said, F.concat(F.lit("t "), F.coalesce("text", F.lit(""))))
+    rows = word_sets(df, key, text, bucket, least_length).select("key", "bucket", F.sha2(said, 256).alias("class")).filter("class is not null")
+    first = rows.groupBy("bucket", "class").agg(F.min("key").alias("representative"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(first, ["bucket", "class"]).filter("key <> representative").select("representative", F.col("key").alias("member")).distinct()
+
+
+def with_copies(groups: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, group) of the representatives' groups and all copies: a copy is in its representative's group.
+
+    A class without similar ones is a group of its own. Copies are similar to whatever their representative is
+    similar to, and come after it, so this is what grouping all rows gives; linking copies to representatives
+    before a greedy grouping would let the copies of a taken row open groups.
+    """
+    alone = copies.select(F.col("representative").alias("id")).distinct().join(groups, "id", "left_anti").select("id", F.col("id").alias("group"))
+    known = groups.select("id", "group").unionByName(alone)
+    return known.unionByName(copies.join(known.withColumnRenamed("id", "representative"), "representative").select(F.col("member").alias("id"), "group"))
+
+
 def exact_groups(df: DataFrame, key: str, text: str, bucket: list[str]) -> DataFrame:
     """(digest, n, keep) of equal texts of one bucket; null buckets are equal to each other."""
     return df.groupBy(*bucket, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("keep")).filter("n > 1")

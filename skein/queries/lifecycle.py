@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import lifecycle as Y
 from skein.operators.components import components
 from skein.queries.relational import AGE, EXP, PIN
+from skein.session import cut
 from skein.tables import AS_OF, M, memories
 
 
@@ -19,16 +20,24 @@ def jaccard_pairs(s, d):
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def jaccard_members(s, d):
+    """The rows that a representative of jaccard_pairs stands for, beside itself."""
+    return Y.copies(memories(s, d), "id", "content", ["project", "kind"])
+
+
 def dedupe_report(s, d):
-    pairs = Y.similar_word_sets(memories(s, d), "id", "content", ["project"], Y.REPORT, 3)
-    return Y.seed_groups(pairs)
+    m = memories(s, d)
+    pairs = Y.similar_word_sets(m, "id", "content", ["project"], Y.REPORT, 3)
+    groups = Y.seed_groups(pairs).toDF("group", "id")
+    return Y.with_copies(groups, cut(Y.copies(m, "id", "content", ["project"], 3))).select(F.col("group").alias("seed"), F.col("id").alias("member"))
 
 
 def merge_on_insert(s, d):
     m = memories(s, d)
     pairs = Y.similar_word_sets(m, "id", "content", ["project", "kind"], Y.MERGE)
     groups = components(pairs, "a", "b").toDF("id", "group")
-    return Y.merged(m, groups).select("group", F.length("content").alias("n_chars"), "importance", F.size("tags").alias("n_tags"), "session_id", "n")
+    everyone = Y.with_copies(groups, cut(Y.copies(m, "id", "content", ["project", "kind"], wordless=True)))
+    return Y.merged(m, everyone).select("group", F.length("content").alias("n_chars"), "importance", F.size("tags").alias("n_tags"), "session_id", "n")
 
 
 def gc_scores(s, d):
@@ -67,7 +76,7 @@ def session_capsules(s, d):
     return Y.session_capsules(memories(s, d))
 
 
-QUERIES = {f.__name__: f for f in (exact_dups, jaccard_pairs, dedupe_report, merge_on_insert, gc_scores, gc_candidates, gc_preview, gc_plan, gc_summaries, keyword_top5, capsule_groups, capsule_summaries, session_capsules)}
+QUERIES = {f.__name__: f for f in (exact_dups, jaccard_pairs, jaccard_members, dedupe_report, merge_on_insert, gc_scores, gc_candidates, gc_preview, gc_plan, gc_summaries, keyword_top5, capsule_groups, capsule_summaries, session_capsules)}
 
 NORM = r"trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g'))"
 PROT = f"({PIN} OR list_contains(tags, 'session_capsule'))"
@@ -79,6 +88,7 @@ SQL = {
     "exact_dups": f"WITH {M} SELECT project, count(*) AS n, min(id) AS keep FROM m GROUP BY project, content HAVING count(*) > 1",
     "jaccard_pairs": f"""WITH {M}, {SETS(1, 'project, kind')}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS t FROM cl a JOIN cl b ON a.project IS NOT DISTINCT FROM b.project AND a.kind IS NOT DISTINCT FROM b.kind AND a.id < b.id)
         SELECT a, b, round(c / (t - c), 6) AS similarity FROM p WHERE c / (t - c) >= 0.85 - 1e-12""",
+    "jaccard_members": f"WITH {M}, {SETS(1, 'project, kind')} SELECT cl.id AS representative, ws.id AS member FROM ws JOIN cl ON ws.project IS NOT DISTINCT FROM cl.project AND ws.kind IS NOT DISTINCT FROM cl.kind AND ws.w = cl.w AND ws.id <> cl.id",
     "gc_scores": f"WITH {M} SELECT id, round({SCORE}, 6) AS score FROM m",
     "gc_candidates": f"WITH {M}, {GC} SELECT id, kind, project, round(score, 6) AS score, place FROM cand",
     "gc_preview": f"""WITH {M}, {GC} SELECT kind, project, count(*) AS n, round(avg(score), 2) AS score, min(age) AS youngest, max(age) AS oldest, min(importance) AS low, max(importance) AS high, list_sort(list(id)) AS ids FROM cand GROUP BY 1, 2 HAVING count(*) > 1""",
