@@ -15,8 +15,9 @@ OTHER, BOUNDS = 0.03, (-0.8, 0.25)
 PARTNERS = {"topic": 8, "agent": 6, "platform": 4, "origin": 4}
 MANY = 10
 RELATION = {"topic": "shares_topic", "agent": "same_agent", "platform": "same_origin", "origin": "same_origin", "file": "shares_file", "component": "shares_component", "tech": "shares_tech", "person": "same_person"}
-#: An entity that more rows mention than this links nothing new by itself: its rows are linked in blocks of this many neighbours.
-CROWD = 400
+#: Rows of a run of an entity that one task goes through when it looks for the next ones.
+BLOCK = 4096
+
 
 
 def neighbours(links: DataFrame, a: str = "source_id", b: str = "target_id") -> DataFrame:
@@ -61,28 +62,64 @@ def link_boosts(links: DataFrame, target: str = "target_id") -> DataFrame:
     return counts.groupBy("id").agg(fold.alias("boost"))
 
 
-def shared_entities(entities: DataFrame, memories: DataFrame) -> DataFrame:
+def following(rows: DataFrame, run: list[str], n: int, block: int) -> DataFrame:
+    """rows with "next": the ids of the n rows that follow in a run, after the last the first ones; none twice, never the row itself.
+
+    rows: id, "rank" (from 0 by id) and "size" of the run. A block of a run is one task, so a run of any
+    length is many; the first rows of what follows a block are copied to its end.
+    """
+    last = F.floor((F.col("size") - 1) / block)
+    at = lambda b, rank, own: F.struct(b.cast("long").alias("block"), rank.cast("long").alias("at"), F.lit(own).alias("own"))
+    home, wrapped = F.floor(F.col("rank") / block), F.col("rank") + F.col("size")
+    places = F.array(
+        at(home, F.col("rank"), True),
+        F.when((F.col("rank") >= block) & (F.col("rank") % block < n), at(home - 1, F.col("rank"), False)),
+        F.when(F.col("rank") < n, at(last, wrapped, False)),
+        F.when((last > 0) & (wrapped < last * block + n), at(last - 1, wrapped, False)),
+    )
+    placed = rows.withColumn("p", F.explode(F.filter(places, lambda x: x.isNotNull()))).select(*rows.columns, "p.*")
+    ids = F.collect_list("id").over(Window.partitionBy(*run, "block").orderBy("at").rowsBetween(1, n))
+    return placed.withColumn("next", ids).filter("own").withColumn("next", F.slice("next", F.lit(1), F.least(F.lit(n), F.col("size") - 1).cast("int"))).drop("block", "at", "own")
+
+
+def shared_entities(entities: DataFrame, memories: DataFrame, block: int = BLOCK) -> DataFrame:
     """(source_id, target_id, relation) by a shared entity: same project, or one side global; topics across projects too.
 
-    entities: (id, kind, value). Of an entity every memory keeps its next PARTNERS in id order, so an entity
-    that a third of all rows mention gives a bounded number of links a row and no pairs of all; the rows
-    before and after are found by a window, not by a self-join.
+    entities: (id, kind, value). Of an entity every memory keeps its next PARTNERS in id order among the rows
+    that it may be linked to, after the last the first ones, so an entity that a third of all rows mention
+    gives a bounded number of links a row and no pairs of all. The rows are ranked by id in ranges of ids with
+    offsets, in runs: all rows ("a"), those of a project ("p") and the global ones ("g"); how runs are cut
+    into ranges and blocks does not alter the result.
     """
-    e = entities.distinct().join(memories.select("id", "project"), "id")
+    # a range of ids is a partition of the sorted ids
+    ranges = cut(memories.select("id", "project").filter("id is not null").orderBy("id")).withColumn("range", F.spark_partition_id())
+    topic, everywhere = F.col("kind") == "topic", F.col("project").isNull()
+    names = F.when(topic, F.array(F.lit("a"))).when(everywhere, F.array(F.lit("a"), F.lit("g"))).otherwise(F.array(F.lit("a"), F.concat(F.lit("p"), F.col("project"))))
+    e = cut(entities.distinct().join(ranges, "id")).select("kind", "value", "id", "project", "range", F.explode(names).alias("run"))
+    run = ["kind", "value", "run"]
+    counts = e.groupBy(*run, "range").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(everywhere, 1)).alias("n_global"))
+    w = Window.partitionBy(*run)
+    earlier = lambda c: F.coalesce(F.sum(c).over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*run, "range", earlier("n").alias("before"), earlier("n_global").alias("before_global"), F.sum("n").over(w).alias("size"), F.sum("n_global").over(w).alias("size_global"))
+    inside = Window.partitionBy(*run, "range").orderBy("id")
+    numbered = e.withColumn("i", F.row_number().over(inside) - 1).withColumn("g", F.count(F.when(everywhere, 1)).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = cut(numbered.join(offsets, [*run, "range"]).select(*run, "id", "project", (F.col("i") + F.col("before")).alias("rank"), "size", (F.col("g") + F.col("before_global")).alias("place"), "size_global"))
+    # all rows are needed only where a row may be linked to all of them
+    lists = following(ranked.filter((F.col("run") != "a") | topic | (F.col("size_global") > 0)), run, max(MANY, *PARTNERS.values()), block)
+    own = lists.filter((F.col("run").startswith("p")) | ((F.col("run") == "a") & (topic | everywhere))).select("kind", "value", "id", "next")
+    # a row of a project stands before the global row at its place, which is the first of its next global rows
+    heads = lists.filter("run = 'g'").select("kind", "value", F.col("rank").alias("place"), F.concat(F.array("id"), "next").alias("next"))
+    seeking = ranked.filter((F.col("run") == "a") & ~topic & ~everywhere & (F.col("size_global") > 0)).select("kind", "value", "id", (F.col("place") % F.col("size_global")).alias("place"))
+    both = own.unionByName(seeking.join(heads, ["kind", "value", "place"]).select("kind", "value", "id", "next")).groupBy("kind", "value", "id").agg(F.flatten(F.collect_list("next")).alias("next"))
     limit = F.lit(MANY)
     for kind, n in PARTNERS.items():
         limit = F.when(F.col("kind") == kind, n).otherwise(limit)
-    # salted by hash ranges of the id for crowds: rows in one salt are neighbours of each other
-    sizes = e.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    salted = e.join(sizes, ["kind", "value"]).withColumn("salt", F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CROWD))).otherwise(F.lit(0)))
-    lists = salted.groupBy("kind", "value", "salt").agg(F.array_sort(F.collect_list(F.struct("id", "project"))).alias("rows"))
-    pairs = lists.select("kind", "value", "rows", F.posexplode("rows").alias("at", "a"))
-    other = F.filter("rows", lambda b: (b["id"] != F.col("a.id")) & ((F.col("kind") == "topic") | F.col("a.project").isNull() | b["project"].isNull() | (b["project"] == F.col("a.project"))))
-    ringed = pairs.select("kind", F.col("a.id").alias("source_id"), F.explode(F.slice(other, F.lit(1), limit)).alias("b"))
+    # from the row on, then from the first one on
+    order = F.transform(F.array_sort(F.transform("next", lambda x: F.struct((x < F.col("id")).alias("again"), x.alias("id")))), lambda x: x["id"])
     relation = F.lit("relates_to")
     for kind, name in RELATION.items():
         relation = F.when(F.col("kind") == kind, name).otherwise(relation)
-    one = ringed.select("source_id", F.col("b.id").alias("target_id"), relation.alias("relation"))
+    one = both.select(F.col("id").alias("source_id"), F.explode(F.slice(order, F.lit(1), limit)).alias("target_id"), relation.alias("relation"))
     return one.groupBy("source_id", "target_id").agg(F.min("relation").alias("relation"))
 
 

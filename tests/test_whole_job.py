@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from skein.operators import graph as G
 from skein.operators import lifecycle as Y
 from skein.operators.components import components
 
@@ -39,3 +40,35 @@ def test_merge_takes_all_copies(spark):
     groups = components(Y.similar_word_sets(m, "id", "content", ["project", "kind"], Y.MERGE), "a", "b").toDF("id", "group")
     got = {r["group"]: (r["n"], r["importance"], r["tags"]) for r in Y.merged(m, Y.with_copies(groups, Y.copies(m, "id", "content", ["project", "kind"], wordless=True))).collect()}
     assert got == {"a": (3, 5, ["x", "y", "z"]), "d": (2, 4, ["u", "v"]), "f": (2, 1, [])}
+
+
+def next_partners(entities, project):
+    """Links of shared_entities, one row at a time."""
+    want = {}
+    groups = {}
+    for i, kind, value in entities:
+        groups.setdefault((kind, value), []).append(i)
+    for (kind, _), ids in groups.items():
+        for a in ids:
+            may = sorted(b for b in ids if b != a and (kind == "topic" or None in (project[a], project[b]) or project[a] == project[b]))
+            ring = [b for b in may if b > a] + [b for b in may if b < a]
+            for b in ring[: G.PARTNERS.get(kind, G.MANY)]:
+                name = G.RELATION.get(kind, "relates_to")
+                want[a, b] = min(want.get((a, b), name), name)
+    return want
+
+
+def test_partners_of_an_entity_do_not_depend_on_its_size(spark):
+    rnd = random.Random(7)
+    ids = [f"m{i:04d}" for i in range(900)]
+    project = {i: rnd.choice([None, "x", "x", "y", "y", "z"]) for i in ids} | {"m0100": "rare", "m0899": "rare"}
+    entities = [(i, "tech", "sql") for i in ids] + [(i, "topic", "storage") for i in ids if rnd.random() < 0.6] + [(i, "agent", f"a{rnd.randrange(60)}") for i in ids] + [(i, "person", f"P{rnd.randrange(400)}") for i in ids] + [(i, "file", "f.py") for i in ids if project[i]]
+    m, e = spark.createDataFrame(list(project.items()), "id string, project string"), spark.createDataFrame(entities, "id string, kind string, value string")
+    want = next_partners(entities, project)
+    for block, merge in ((G.BLOCK, "true"), (16, "false")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)  # without it ids are in several ranges
+        try:
+            got = G.shared_entities(e, m.repartition(3), block).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len(want) and {(r["source_id"], r["target_id"]): r["relation"] for r in got} == want
