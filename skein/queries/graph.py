@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators.components import components
+from skein.session import cut
 from skein.tables import L, M, links, memories
 
 
@@ -58,12 +59,22 @@ def entity_links(s, d):
     return G.shared_entities(G.entities(memories(s, d)), memories(s, d))
 
 
+WORDS = ("storage", "incident", "notes", "nimbus-relay")
+
+
 def entity_cooccurrence(s, d):
-    words = s.createDataFrame([("storage",), ("incident",), ("notes",), ("nimbus-relay",)], "word string")
+    """Over the kinds that the SQL names; entity_cooccurrence_all is over all."""
+    words = s.createDataFrame([(w,) for w in WORDS], "word string")
     e = G.entities(memories(s, d)).filter("kind in ('topic', 'origin', 'project')")
     return G.cooccurring(e, words)
 
 
+def entity_cooccurrence_all(s, d):
+    """Over all kinds of entities, which SQL does not express."""
+    words = s.createDataFrame([(w,) for w in (*WORDS, "sql", "cursor")], "word string")
+    return G.cooccurring(G.entities(memories(s, d)), words)
+
+
 def project_entities(s, d):
     """Entities of a project's memories, by kind, the most common fifteen."""
     from pyspark.sql import Window
@@ -74,29 +85,44 @@ def project_entities(s, d):
     return counts.withColumn("r", F.row_number().over(w)).filter("r <= 15").drop("r")
 
 
-def coherence_pairs(s, d):
-    """Pairs that share an entity among the five newest of each project."""
+def newest(m, n):
+    """(query, id): the n newest of each project."""
     from skein.operators.relational import newest_per
 
+    return newest_per(m.filter("project is not null"), ["project"], "updated_at", "id", n).select(F.col("project").alias("query"), "id")
+
+
+def coherence_pairs(s, d):
+    """Pairs that share a topic among the five newest of each project; coherence_pairs_all is over all kinds of entities."""
+    m = memories(s, d)
+    return G.adjacency(links(s, d).limit(0), G.entities(m).filter("kind = 'topic'"), newest(m, 5))
+
+
+def coherence_pairs_all(s, d):
+    """Pairs that share an entity of any kind among the five newest of each project; the project is one, so these are all pairs of it."""
     m = memories(s, d)
-    top = newest_per(m.filter("project is not null"), ["project"], "updated_at", "id", 5).select(F.col("project").alias("query"), "id")
-    e = G.entities(m).filter("kind = 'topic'")
-    return G.adjacency(links(s, d).limit(0), e, top)
+    top = cut(newest(m, 5))
+    return G.adjacency(links(s, d).limit(0), G.entities(m.join(top, "id", "left_semi")), top)
 
 
 def adjacency_pairs(s, d):
-    from skein.operators.relational import newest_per
+    """Linked or sharing a topic, among the twenty newest of each project; adjacency_pairs_all is over all kinds of entities."""
+    m = memories(s, d)
+    return G.adjacency(links(s, d), G.entities(m).filter("kind = 'topic'"), newest(m, 20))
+
 
+def adjacency_pairs_all(s, d):
+    """Linked or sharing an entity of any kind, among the twenty newest of each project."""
     m = memories(s, d)
-    top = newest_per(m.filter("project is not null"), ["project"], "updated_at", "id", 20).select(F.col("project").alias("query"), "id")
-    return G.adjacency(links(s, d), G.entities(m).filter("kind = 'topic'"), top)
+    top = cut(newest(m, 20))
+    return G.adjacency(links(s, d), G.entities(m.join(top, "id", "left_semi")), top)
 
 
 def corpus_profile(s, d):
     return G.corpus_analysis(memories(s, d)).groupBy("origin", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (clean_links, bfs_depth1, bfs_depth2, bfs_depth3, find_related, link_boost_clamped, link_components, entity_counts, entity_topics, entity_links, entity_cooccurrence, project_entities, coherence_pairs, adjacency_pairs, corpus_profile)}
+QUERIES = {f.__name__: f for f in (clean_links, bfs_depth1, bfs_depth2, bfs_depth3, find_related, link_boost_clamped, link_components, entity_counts, entity_topics, entity_links, entity_cooccurrence, entity_cooccurrence_all, project_entities, coherence_pairs, coherence_pairs_all, adjacency_pairs, adjacency_pairs_all, corpus_profile)}
 
 E2 = "e2 AS (SELECT source_id AS node, target_id AS next FROM l UNION SELECT target_id, source_id FROM l), r0 AS (SELECT node AS root FROM e2 GROUP BY node ORDER BY count(*) DESC, node LIMIT 5)"
 BFS = """WITH RECURSIVE {L}, {E2}, b AS (SELECT root, root AS node, 0 AS depth FROM r0 UNION SELECT root, next, depth + 1 FROM b JOIN e2 USING (node) WHERE depth < {n}), seen AS (SELECT root, node, min(depth) AS depth FROM b GROUP BY 1, 2)"""

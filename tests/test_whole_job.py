@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import graph as G
 from skein.operators import lifecycle as Y
 from skein.operators.components import components
+from skein.queries import graph as QG
 
 COLUMNS = "id string, content string, project string, kind string, importance int, tags array<string>, created_at timestamp, session_id string, thread_id string, window_id string"
 
@@ -72,3 +73,29 @@ def test_partners_of_an_entity_do_not_depend_on_its_size(spark):
         finally:
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert len(got) == len(want) and {(r["source_id"], r["target_id"]): r["relation"] for r in got} == want
+
+
+def test_pairs_and_cooccurrence_over_all_kinds(spark, monkeypatch):
+    texts = {"a": "written in sql by Cursor", "b": "SQL again", "c": "see src/app/main.py", "d": "src/app/main.py fails", "e": "the auth-service", "f": "auth-service of Cursor", "g": "Spoke with Ada Byron", "h": "Thanks Ada Byron", "i": "nothing"}
+    m = spark.createDataFrame([(i, t, "p" if i < "f" else "q", None) for i, t in texts.items()], "id string, content string, project string, source string").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    none = spark.createDataFrame([], "source_id string, target_id string, relation string")
+    monkeypatch.setattr(QG, "memories", lambda s, d: m)
+    monkeypatch.setattr(QG, "links", lambda s, d: none)
+    own = {}
+    for r in G.entities(m).collect():
+        own.setdefault(r["id"], set()).add((r["kind"], r["value"]))
+    assert {k for e in own.values() for k, _ in e} == {"project", "origin", "tech", "agent", "file", "component", "person"}
+    project = {r["id"]: r["project"] for r in m.collect()}
+    for name, n in (("coherence_pairs_all", 5), ("adjacency_pairs_all", 20)):
+        top = {p: sorted(i for i in own if project[i] == p)[:n] for p in "pq"}
+        want = {(p, a, b) for p, ids in top.items() for a in ids for b in ids if a < b and own[a] & own[b]}
+        got = QG.QUERIES[name](spark, "").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = {(r["word"], r["value"]): r["n"] for r in QG.entity_cooccurrence_all(spark, "").collect()}
+    for word in ("notes", "sql", "cursor"):
+        n = {}
+        for e in own.values():
+            if any(v.lower() == word for _, v in e):
+                for v in {v for _, v in e if v.lower() != word}:
+                    n[v] = n.get(v, 0) + 1
+        assert {v: c for (w, v), c in got.items() if w == word} == dict(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:4])
