@@ -11,6 +11,8 @@ from skein.session import cut
 
 #: Thresholds of the merge on insert and of the report.
 MERGE, REPORT = 0.85, 0.7
+#: Open links that the driver takes over in seed_groups.
+FEW = 100_000
 #: How strongly a kind asks to be condensed; 0.5 for others. Kinds outside COMPRESSIBLE are never condensed by age.
 KIND_WEIGHT = {"note": 0.8, "snippet": 0.7, "bug": 0.6, "todo": 0.9}
 COMPRESSIBLE = ("bug", "snippet", "note", "todo")
@@ -93,16 +95,17 @@ def merged(df: DataFrame, groups: DataFrame) -> DataFrame:
     return rows
 
 
-def seed_groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def seed_groups(pairs: DataFrame) -> DataFrame:
     """(seed, member) of greedy groups: rows in order of their key; a row not yet in a group opens one and takes its free neighbours.
 
     In rounds: every free row whose smaller neighbours are all decided and none of them a seed becomes a seed,
     and takes its larger free neighbours. That is what going through the rows one by one gives. A row in reach of
-    two seeds goes to the smaller.
+    two seeds goes to the smaller. Each round decides at least the smallest free row, so the rounds end; once at most FEW
+    links are open, as of a long chain of ascending keys, the driver goes through their rows.
     """
     edges = cut(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     state = cut(edges.select(F.explode(F.array("u", "v")).alias("k")).distinct().select("k", F.lit(None).cast(edges.schema["u"].dataType).alias("seed")))
-    for _ in range(most_rounds):
+    while True:
         free = state.filter("seed is null").select("k")
         waiting = edges.join(free.select(F.col("k").alias("u")), "u").join(free.select(F.col("k").alias("v")), "v").select(F.col("v").alias("k")).distinct()
         seeds = free.join(waiting, "k", "left_anti")
@@ -111,7 +114,19 @@ def seed_groups(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = cut(state.join(new, "k", "left").select("k", F.coalesce("seed", "s").alias("seed")))
         if not state.filter("seed is null").limit(1).count():
             return state.select("seed", F.col("k").alias("member"))
-    raise RuntimeError("groups did not settle")
+        free = state.filter("seed is null").select("k")
+        edges = cut(edges.join(free.select(F.col("k").alias("u")), "u", "left_semi").join(free.select(F.col("k").alias("v")), "v", "left_semi"))
+        if edges.limit(FEW + 1).count() <= FEW:
+            larger: dict = {}
+            for u, v in edges.select("u", "v").collect():
+                larger.setdefault(u, []).append(v)
+            seed: dict = {}
+            for u in sorted(larger):
+                if u not in seed:
+                    seed |= {v: u for v in larger[u] if v not in seed}
+                    seed[u] = u
+            last = state.sparkSession.createDataFrame(list(seed.items()), state.select("k", F.col("seed").alias("s")).schema)
+            return state.join(last, "k", "left").select(F.coalesce("seed", "s", "k").alias("seed"), F.col("k").alias("member"))
 
 
 def gc_score(as_of: str) -> Column:

@@ -99,3 +99,9 @@ def test_pairs_and_cooccurrence_over_all_kinds(spark, monkeypatch):
                 for v in {v for _, v in e if v.lower() != word}:
                     n[v] = n.get(v, 0) + 1
         assert {v: c for (w, v), c in got.items() if w == word} == dict(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:4])
+
+
+def test_seed_groups_of_a_long_chain(spark):
+    keys = [f"t{i:03d}" for i in range(130)]
+    pairs = spark.createDataFrame(list(zip(keys, keys[1:], strict=False)), "a string, b string")
+    assert {r["member"]: r["seed"] for r in Y.seed_groups(pairs).collect()} == {k: keys[i - i % 2] for i, k in enumerate(keys)}
