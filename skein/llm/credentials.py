@@ -102,6 +102,10 @@ class Secret(NamedTuple):
     end: int
 
 
+#: All that makes a line worth tokenizing: HINTS, and what else the rules of _line can start from, so that none is kept from its lines.
+GATES = (*HINTS, ASSIGN, HEADER, PROSE, re.compile(r"(?<![\w-])--?[a-z]"), re.compile(r"\b(?:mysql|mariadb|sshpass|mongo|pg_dump|redis-cli|smbclient|ldap)"), re.compile(r"</[\w.\-:]+>"))
+
+
 def credential_name(name: str) -> bool:
     """Whether an identifier names a credential: its last telling word is one (max_tokens, secret_ref, token_budget are not)."""
     words = [w.lower() for w in WORD.findall(name)]
@@ -122,7 +126,7 @@ def literal_secret(value: str, *, quoted: bool = False, told: bool = False) -> b
     quoted: it was a string literal. told: nothing but a credential can stand there (userinfo, a password
     argument), so plain words count too.
     """
-    if len(value) < 4 or len(value) > 4096 or MASK.match(value) or REFERENCE.match(value) or PLACEHOLDER.match(value):
+    if len(value) < 4 or MASK.match(value) or REFERENCE.match(value) or PLACEHOLDER.match(value):
         return False
     if HOSTISH.match(value) or (not quoted and CALL.match(value)):
         return False
@@ -240,7 +244,7 @@ def find_secrets(text: str | None) -> list[Secret]:
     last, lower = -1, text.lower()
     if len(lower) != len(text):  # a few letters change length
         lower = "".join(c.lower() if c.isascii() else c for c in text)
-    for at in sorted({m.start() for hint in HINTS for m in hint.finditer(lower)}):
+    for at in sorted({m.start() for hint in GATES for m in hint.finditer(lower)}):
         if at < last:
             continue
         first = text.rfind("\n", 0, at) + 1

@@ -105,3 +105,11 @@ def test_seed_groups_of_a_long_chain(spark):
     keys = [f"t{i:03d}" for i in range(130)]
     pairs = spark.createDataFrame(list(zip(keys, keys[1:], strict=False)), "a string, b string")
     assert {r["member"]: r["seed"] for r in Y.seed_groups(pairs).collect()} == {k: keys[i - i % 2] for i, k in enumerate(keys)}
+
+
+def test_no_gate_keeps_a_rule_from_its_lines():
+    from skein.llm.credentials import redact
+
+    value = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    for line in (f"Authorization: Token {value}", f"curl -H 'Authorization: ApiKey {value}' https://x.org", f'headers = {{"Authorization": "Token {value}"}}', f"redis-cli -h db -a{value}", f"-u bob:{value}", f'api_key = "{value * 150}"'):
+        assert value not in redact(line) and "[REDACTED]" in redact(line), line[:80]
