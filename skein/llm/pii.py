@@ -53,10 +53,10 @@ _STRASSE = "straße|strasse|str\\.|weg|platz|allee|gasse|ring|ufer|damm|steig|pf
 _UNIT = rf"(?:,? (?:[Aa]pt|[Aa]partment|[Uu]nit|[Ss]uite|[Ff]lat|[Rr]oom|[Ff]loor|[Ss]te|[Aa]ppt|[Aa]ppartement|[Bb]ât|[Bb]âtiment|[Ee]scalier|[Éé]tage|[Ww]ohnung|[Ww]hg|[Ww]hg\.|[Aa]pp)\.? ?#?\w{{1,5}}|,? #\w{{1,5}})?"
 ADDRESS_EN = re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?,? (?:[{UP}][\w’'.-]* ){{1,4}}(?i:{_STREET})\b\.?(?! ?[{UP}][{LOW}]+ (?i:{_STREET})\b)")
 ADDRESS_FR = re.compile(rf"(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-dA-D]))?,? (?i:{_RUE}) (?:(?:de la|de l[’']|des|du|de|d[’']|la|le|les|l[’'])? ?)?[{UP}][\w’'-]*(?:(?: (?:de la|des|du|de|et|à la|aux?|en|sur|la|le)| (?:de )?l[’'])? ?[{UP}][\w’'-]*){{0,4}}")
-#: What is worth a look at the costlier patterns.
+#: What is worth a look at the costlier patterns: what every match of theirs holds.
 DIGITS = re.compile(r"(?<![\w.@/=-])[+(]?\d[\d .\-/()]{5,}\d")
-IDS = re.compile(r"\d[\d -]{4,}")
-WRITTEN = re.compile(r"[\[({<] ?(?:at|AT|arobase|chez|ät) ?[\])}>]| (?:dot|DOT|point|punkt) | @ ")
+IDS = re.compile(r"\d")
+WRITTEN = re.compile(_AT)
 GERMAN = re.compile(rf"(?:{_STRASSE}) ?\d|\b(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der|Vor dem) [{UP}][^\n\d]{{2,40}} \d|\b(?i:{_STRASSE}) \d")
 ADDRESS_DE = re.compile(rf"(?<![\w-])(?:(?:[{UP}][\w’'-]*[ -]){{0,3}}[{UP}][\w’'-]*(?:{_STRASSE})|(?:[{UP}][\w’'-]* ){{0,3}}(?i:{_STRASSE})|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der|Vor dem) (?:[{UP}][\w’'-]* ?){{1,2}}) ?\d{{1,4}} ?[a-zA-Z]?\b(?!\.?\d)")
 UNIT = re.compile(_UNIT.replace("{{", "{").replace("}}", "}"))
