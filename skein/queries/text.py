@@ -63,7 +63,7 @@ def chunk_paragraphs(s, d):
 
 
 def chunk_code(s, d):
-    return C.chunks(memories(s, d).filter("kind = 'snippet'"), "id", "content", code=True).select("id", "n", F.length("text").alias("n_chars"), "start_line", "end_line")
+    return C.chunks(memories(s, d), "id", "content", code=True).select("id", "n", F.length("text").alias("n_chars"), "start_line", "end_line")
 
 
 def transcript_segments(s, d):

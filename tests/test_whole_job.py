@@ -120,3 +120,12 @@ def test_gates_let_through_what_the_generators_propose():
 
     for text, kind in (("jane.doe at example.org", 1), ("jean.dupont arobase exemple.fr", 1), ("RSSMRA85T10A562S", 3)):
         assert any(c.kind == kind and (c.start, c.end) == (0, len(text)) for c in candidates(text)), text
+
+
+def test_code_is_chunked_whatever_its_kind(spark, monkeypatch):
+    from skein.queries import text as QT
+
+    code = "import os\n\n" + "\n".join(f"def f{i}():\n    " + "\n    ".join(f"x{j} = {j}" for j in range(40)) for i in range(3))
+    monkeypatch.setattr(QT, "memories", lambda s, d: spark.createDataFrame([("a", code, "snippet"), ("b", code, "note")], "id string, content string, kind string"))
+    n = {r["id"]: r["count"] for r in QT.chunk_code(spark, "").groupBy("id").count().collect()}
+    assert n == {"a": 3, "b": 3}
