@@ -16,6 +16,7 @@ size class, so the radius in a segment stays small.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import components
-from skein.session import cut
+from skein.session import cut, stored
 
 THRESHOLD = 0.8
 #: A shard of more fingerprints than this is split by vantage points.
@@ -33,13 +34,15 @@ SAMPLE, NAMED, DEEPEST = 2_048, 10_000, 12
 #: Copies of one class are expanded in blocks of this many.
 BLOCK = 1_000
 LEAF = 48
+#: 64-bit numbers in the fingerprint of a whole set, a power of two.
+WHOLE = 8
 
 WORDS = "[^\\p{L}\\p{N}]+"
 
 
 def word_set(text: Column) -> Column:
     """Distinct maximal runs of letters and digits of the lower-cased text; null is like empty."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WORDS)), "")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,21 +77,27 @@ class Radius:
 
 
 def fingerprints(hashes: np.ndarray, row: np.ndarray, rows: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment fingerprints of all rows one after another, fingerprint of the whole set of each row in two halves)."""
+    """(segment fingerprints of all rows one after another, fingerprint of the whole set of each row in WHOLE numbers)."""
     first = np.concatenate([[0], np.cumsum(parts)])
-    segs, whole = np.zeros(first[-1], np.uint64), np.zeros(2 * rows, np.uint64)
+    segs, whole = np.zeros(first[-1], np.uint64), np.zeros(WHOLE * rows, np.uint64)
     x = _mix(hashes.view(np.uint64))
     at = first[row] + (x % parts[row].astype(np.uint64)).astype(np.int64)
     np.bitwise_xor.at(segs, at, np.uint64(1) << ((x >> np.uint64(40)) & np.uint64(63)))
-    half = ((x >> np.uint64(56)) & np.uint64(1)).astype(np.int64)
-    np.bitwise_xor.at(whole, 2 * row + half, np.uint64(1) << ((x >> np.uint64(50)) & np.uint64(63)))
-    return segs, whole.reshape(rows, 2)
+    place = ((x >> np.uint64(56)) % np.uint64(WHOLE)).astype(np.int64)
+    np.bitwise_xor.at(whole, WHOLE * row + place, np.uint64(1) << ((x >> np.uint64(50)) & np.uint64(63)))
+    return segs, whole.reshape(rows, WHOLE)
+
+
+def folded(whole: np.ndarray, kind: int) -> np.ndarray:
+    """Whole fingerprints as wide as a size class needs: 128 bits up to class 2, then twice as many for each, up to WHOLE numbers."""
+    width = min(WHOLE, 2 ** max(1, kind - 1))
+    return np.bitwise_xor.reduce(whole.reshape(len(whole), -1, width), axis=1)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distance of fingerprints; the halves of whole sets lie in the last axis."""
+    """Hamming distance of fingerprints; the numbers of whole sets lie in the last axis."""
     d = np.bitwise_count(a ^ b).astype(np.int64)
-    return d.sum(axis=-1) if d.ndim > 1 and d.shape[-1] == 2 and a.ndim > 1 and a.shape[-1] == 2 else d
+    return d.sum(axis=-1) if a.ndim > 1 else d
 
 
 def vantage_pairs(fp: np.ndarray, whole: np.ndarray, n: np.ndarray, home: np.ndarray, parts: int, radius: Radius) -> tuple[np.ndarray, np.ndarray]:
@@ -182,50 +191,79 @@ def _unpack(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(df: DataFrame, key: str, text: str, group: Column | None = None) -> DataFrame:
-    """(key, grp, words, cls) of every row with words: its distinct words in order, and the class of its group and words."""
+    """(key, grp, words, cls) of every row with words: its distinct words in order, and the class of its group and words.
+
+    Written once to the shared folder: members, classes, counts and samples are all read from there, each its own columns.
+    """
     g = F.coalesce(F.concat(F.lit("="), group), F.lit("")) if group is not None else F.lit("")
-    rows = df.select(df[key].alias("key"), g.alias("grp"), F.concat_ws(" ", F.array_sort(word_set(df[text]))).alias("words")).filter("words <> ''")
-    # said here, the filter that joins imply leaves all plans over the classes alike, so that they share one exchange
-    return rows.withColumn("cls", F.unhex(F.md5(F.concat_ws("\n", "grp", "words")))).filter("cls is not null")
+    # told from the text, since a condition on the words would make them twice
+    rows = df.filter(df[text].rlike("[\\p{L}\\p{N}]")).select(df[key].alias("key"), g.alias("grp"), F.concat_ws(" ", F.sort_array(word_set(df[text]))).alias("words"))
+    return stored(rows.withColumn("cls", F.unhex(F.md5(F.concat_ws("\n", "grp", "words")))))
+
 
+class Top(NamedTuple):
+    """How hot groups are split: levels by group, levels of any other, upper tree and share of each leaf by size class, rows by group."""
 
-def top_levels(df: DataFrame, key: str, text: str, group: Column | None, shard: int) -> tuple[dict, int, dict]:
-    """(levels by group, levels of any other group, upper tree by size class): how hot groups are split.
+    depth: dict[int, int]
+    other: int
+    trees: dict[int, list[tuple[int, int]]]
+    share: dict[int, list[np.ndarray]]
+    rows: dict[int, int]
+    rest: int
+    shard: int
 
-    Routing loses nothing at any depth, so counts of rows do for counts of classes, and a sample for medians.
-    The driver holds at most NAMED groups and SAMPLE texts.
+    def blocks(self, grp: np.ndarray, kind: int, depth: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Blocks of the leaf that each row went to: one for each `shard` rows that the sample lets expect there."""
+        share = np.zeros(len(node))
+        for level, s in enumerate(self.share.get(kind, [])):
+            at = depth == level
+            share[at] = s[node[at] - (2**level - 1)]
+        count = np.array([self.rows.get(int(g), self.rest) for g in grp], np.float64)
+        return np.maximum(1, np.ceil(count * share / self.shard)).astype(np.int64)
+
+
+NOWHERE = Top({}, 0, {}, {}, {}, 0, 1)
+
+
+def top_levels(rows: DataFrame, shard: int = SHARD) -> Top:
+    """How the hot groups of keyed() rows are split. Splitting loses nothing in any form, so a sample will do for medians
+    and shares, and counts of rows for counts of classes. The driver holds at most NAMED groups and SAMPLE texts.
     """
-    g = F.coalesce(F.concat(F.lit("="), group), F.lit("")) if group is not None else F.lit("")
-    hot = df.groupBy(F.xxhash64(g).alias("grp")).count().filter(F.col("count") > shard).orderBy(F.desc("count")).limit(NAMED).collect()
+    hot = rows.groupBy(F.xxhash64("grp").alias("grp")).count().filter(F.col("count") > shard).orderBy(F.desc("count")).limit(NAMED).collect()
     if not hot:
-        return {}, 0, {}
+        return NOWHERE
     level = lambda count: min(DEEPEST, int(np.ceil(np.log2(count / shard))))
     depth = {r["grp"]: level(r["count"]) for r in hot}
-    other = level(hot[-1]["count"]) if len(hot) == NAMED else 0  # groups beyond those known by name are no larger
-    some = df.orderBy(F.xxhash64(df[key])).limit(SAMPLE).select(F.transform(word_set(df[text]), lambda w: F.xxhash64(w)).alias("h")).filter("size(h) > 0")
+    rest = hot[-1]["count"] if len(hot) == NAMED else 0  # groups beyond those known by name are no larger
+    some = rows.select("cls", "words").orderBy("cls").limit(SAMPLE).select(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
     values = [np.array(r["h"], np.int64) for r in some.collect()]
-    n = np.array([len(v) for v in values])
-    kinds, tops = size_class(n), {}
+    kinds, trees, share = size_class(np.array([len(v) for v in values])), {}, {}
+    deepest = max(depth.values())
     for k in np.unique(kinds):
         chosen = [v for v, x in zip(values, kinds, strict=True) if x == k]
         row = np.repeat(np.arange(len(chosen)), [len(v) for v in chosen])
         segs, _ = fingerprints(np.concatenate(chosen), row, len(chosen), np.full(len(chosen), segments(np.array([k]))[0]))
-        tops[int(k)] = build_top(segs[:: max(1, len(segs) // SAMPLE)], max(depth.values()))
-    return depth, other, tops
+        trees[int(k)] = build_top(segs[:: max(1, len(segs) // SAMPLE)], deepest)
+        share[int(k)] = []
+        for d in range(deepest + 1):
+            _, node, home = route(segs, np.zeros(len(segs), np.int64), np.full(len(segs), d), trees[int(k)])
+            share[int(k)].append(np.bincount(node[home] - (2**d - 1), minlength=2**d) / len(segs) * (len(chosen) / len(values)))
+    return Top(depth, level(rest) if rest else 0, trees, share, {r["grp"]: r["count"] for r in hot}, rest, shard)
 
 
-def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dict, int, dict] = ({}, 0, {})) -> DataFrame:
-    """(cls_a, cls_b, common, either) of the pairs of classes of one group with at least the threshold; exact.
+def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: Top = NOWHERE) -> DataFrame:
+    """(cls_a, cls_b) of the pairs of classes of one group with at least the threshold; exact, on 64-bit hashes of the words.
 
     rows: what keyed() gives; top: what top_levels() gives. The classes are shuffled once, by their id, and
     that exchange serves the shards and both sides of the check.
     """
     radius = Radius(threshold)
-    found = rows.groupBy("cls").agg(F.first("grp").alias("grp"), F.first("words").alias("words"))
+    # the filter that joins imply, said here, leaves all plans over the classes alike, so that they share one exchange
+    found = rows.filter("cls is not null").groupBy("cls").agg(F.first("grp").alias("grp"), F.first("words").alias("words"))
     known = rows.sparkSession.sparkContext.broadcast(top)  # bounded by NAMED, DEEPEST and SAMPLE
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depth, other, tops = known.value
+        top = known.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -234,7 +272,7 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
             grp, cls = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("cls")
             kinds = size_class(n)
             below = size_class(np.floor(n * threshold + 1e-9).astype(np.int64)) < kinds  # a smaller partner may be in the class below
-            deep = np.array([depth.get(int(g), other) for g in grp], np.int64)
+            deep = np.array([top.depth.get(int(g), top.other) for g in grp], np.int64)
             for shift, mine in ((0, np.arange(len(n))), (1, np.flatnonzero(below))):
                 if not len(mine):
                     continue
@@ -249,14 +287,21 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
                 e = (radius.query(n[mine]) // parts)[own]
                 for k in np.unique(kind):
                     at = np.flatnonzero(kind[own] == k)
-                    r, leaf, home = route(fp[at], e[at], deep[mine][own[at]], tops.get(int(k), []))
+                    r, leaf, home = route(fp[at], e[at], deep[mine][own[at]], top.trees.get(int(k), []))
                     r = at[r]
                     o = own[r]
+                    block = np.zeros(len(r), np.int64)
+                    if top.trees:  # a leaf of many rows, alike ones among them, is cut into blocks; everyone asks all of them
+                        many = top.blocks(grp[mine][o], int(k), deep[mine][o], leaf)
+                        r, o, leaf, home, mod = (np.repeat(x, many) for x in (r, o, leaf, home, many))
+                        block = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+                        home = home & (block == (_mix(np.bitwise_xor.reduce(whole[o] * np.arange(1, 2 * WHOLE, 2, dtype=np.uint64), axis=1)) % mod.astype(np.uint64)).astype(np.int64))
                     with np.errstate(over="ignore"):
-                        shard = _mix(_mix(_mix(grp[mine][o].view(np.uint64) + np.uint64(k)) + seg[r].astype(np.uint64)) + leaf.astype(np.uint64))
+                        shard = _mix(_mix(_mix(grp[mine][o].view(np.uint64) + np.uint64(k)) + seg[r].astype(np.uint64)) + (leaf + (block << 32)).astype(np.uint64))
                     info = n[mine][o] * 256 + k * 2 + (home & (shift == 0))
-                    columns = [pa.array(x) for x in (shard.view(np.int64), fp[r].view(np.int64), *whole[o].T.copy().view(np.int64), info)]
-                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(mine[o])), *columns], ["cls", "shard", "fp", "whole", "whole2", "info"])
+                    wide = folded(whole, int(k))[o]
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * wide.shape[1]), len(o), [None, pa.py_buffer(np.ascontiguousarray(wide))]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([cls.take(pa.array(mine[o])), pa.array(shard.view(np.int64)), pa.array(fp[r].view(np.int64)), packed, pa.array(info)], ["cls", "shard", "fp", "whole", "info"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard after another: the rows come sorted by shard."""
@@ -264,14 +309,14 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             shard, fp, info = (t.column(c).to_numpy() for c in ("shard", "fp", "info"))
-            whole = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("whole", "whole2")], axis=1)
-            cls = t.column("cls").combine_chunks()
+            cls, whole = (t.column(c).combine_chunks() for c in ("cls", "whole"))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
+                sets = np.frombuffer(b"".join(whole[a:b].to_pylist()), np.uint64).reshape(b - a, -1)
                 i, j = vantage_pairs(
-                    fp[a:b].view(np.uint64), whole[a:b], info[a:b] // 256, (info[a:b] & 1).astype(bool), int(segments(np.array([(info[a] % 256) // 2]))[0]), radius
+                    fp[a:b].view(np.uint64), sets, info[a:b] // 256, (info[a:b] & 1).astype(bool), int(segments(np.array([(info[a] % 256) // 2]))[0]), radius
                 )
                 if len(i):
                     yield pa.RecordBatch.from_arrays([cls.take(pa.array(a + i)), cls.take(pa.array(a + j))], ["x", "y"])
@@ -290,15 +335,16 @@ def class_links(rows: DataFrame, *, threshold: float = THRESHOLD, top: tuple[dic
             yield from pairs(rest)
 
     hashed = found.select("cls", F.xxhash64("grp").alias("grp"), F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
-    spread = hashed.mapInArrow(shards, "cls binary, shard long, fp long, whole long, whole2 long, info long")
+    spread = hashed.mapInArrow(shards, "cls binary, shard long, fp long, whole binary, info long")
     hits = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "x binary, y binary")
     candidates = hits.select(F.least("x", "y").alias("cls_a"), F.greatest("x", "y").alias("cls_b")).distinct()
     a, b = (found.select(*(F.col(c).alias(f"{c}_{s}") for c in ("cls", "grp", "words"))) for s in "ab")
-    both = candidates.join(a, "cls_a").join(b, "cls_b").filter("grp_a = grp_b and cls_a <> cls_b")
-    u, v = F.split("words_a", " "), F.split("words_b", " ")
-    sized = both.select("cls_a", "cls_b", F.size(F.array_intersect(u, v)).alias("common"), (F.size(u) + F.size(v)).alias("total"))
-    exact = sized.select("cls_a", "cls_b", "common", (F.col("total") - F.col("common")).alias("either"))
-    return exact.filter(F.col("common") >= F.col("either") * F.lit(threshold) - F.lit(1e-9))
+    both = candidates.join(a, "cls_a").join(b, "cls_b").filter("cls_a <> cls_b")
+    u, v = (F.transform(F.split(w, " "), lambda x: F.xxhash64(x)) for w in ("words_a", "words_b"))
+    # c common of s in all: c / (s - c) >= t, said so that the costly side stands once
+    # and the groups, which differ only where shards' hashes collide, must not become a key of the join
+    enough = F.when(F.col("grp_a") == F.col("grp_b"), F.size(F.array_intersect(u, v))).otherwise(0) >= (F.size(F.split("words_a", " ")) + F.size(F.split("words_b", " "))) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9)
+    return both.filter(enough).select("cls_a", "cls_b")
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -335,8 +381,8 @@ def similar_pairs(df: DataFrame, key: str, text: str, group: Column | None = Non
     it is, so keys should be unique up to repeated rows.
     """
     rows = keyed(df, key, text, group)
-    links = class_links(rows, threshold=threshold, top=top_levels(df, key, text, group, shard))
-    return expand(cut(rows.select("key", "cls").distinct()), cut(links.select("cls_a", "cls_b")))
+    links = class_links(rows, threshold=threshold, top=top_levels(rows, shard))
+    return expand(rows.select("key", "cls").distinct(), cut(links))
 
 
 def similar_groups(df: DataFrame, key: str, text: str, group: Column | None = None, *, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
@@ -346,8 +392,8 @@ def similar_groups(df: DataFrame, key: str, text: str, group: Column | None = No
     other classes it is similar to.
     """
     rows = keyed(df, key, text, group)
-    members = cut(rows.select("key", "cls").distinct())
-    links = class_links(rows, threshold=threshold, top=top_levels(df, key, text, group, shard))
+    members = rows.select("key", "cls").distinct()
+    links = class_links(rows, threshold=threshold, top=top_levels(rows, shard))
     links = cut(links.select(F.hex("cls_a").alias("a"), F.hex("cls_b").alias("b")))
     parts = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
