@@ -94,9 +94,9 @@ def calibrated(model: Trees, x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the thresholds of the best F1 on held-out rows."""
+    """The middle of the thresholds whose F1 on held-out rows is the best but for a thousandth."""
     tries = np.linspace(0.05, 0.95, 91)
     hit = np.array([((p >= t) & (y > 0)).sum() for t in tries])
     said = np.array([(p >= t).sum() for t in tries])
     f1 = 2 * hit / np.maximum(said + y.sum(), 1)
-    return float(np.median(tries[f1 >= f1.max() - 1e-9]))
+    return float(np.median(tries[f1 >= f1.max() - 1e-3]))
