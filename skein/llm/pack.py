@@ -1,12 +1,12 @@
 """Problem 7: items packed into containers of one capacity.
 
-Method: bulk-synchronous best fit. Items are sorted by size, and numbered within a size; open containers are
+Method: best fit over runs, a form of bulk-synchronous best fit whose sweep is not distributed. Items are sorted by size, and numbered within a size; open containers are
 kept sorted by their gap. A superstep takes the largest size left, sweeps to the smallest gaps that hold it,
 gives the k-th item of the size to the k-th place (that is how conflicts are resolved), updates the gaps and
 repeats. As sizes and gaps are whole numbers up to the capacity, both lists are kept as runs (equal size:
 how many; equal gap: which containers), so a superstep costs a few runs however many items there are, and
-the sweep needs the counts of sizes only. Numbering the items and giving them their containers is
-distributed.
+the sweep needs the counts of sizes only and is done on the driver, at a cost that the capacity bounds.
+Counting and numbering the items and giving them their containers is distributed.
 """
 
 from __future__ import annotations

@@ -125,7 +125,7 @@ def _whole(text: str, at: int, start: int) -> int:
     return k if k > start else at
 
 
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, marks: Boundaries | None = None) -> list[tuple[int, int]]:
     """(start, end) offsets of the pieces. A text within the limit is one piece; an empty text is none.
 
     Every piece but the first starts with up to overlap characters of the end of the one before, and the
@@ -135,7 +135,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
         raise ValueError("the overlap has to be less than half of the limit")
     if len(text) <= limit:
         return [(0, len(text))] if text else []
-    marks, out, start, done = Boundaries(text), [], 0, 0
+    marks, out, start, done = marks or Boundaries(text), [], 0, 0
     while len(text) - start > limit:
         most = start + limit
         end = marks.cut(start, max(done + 1, start + int(limit * LEAST)), most)
@@ -182,10 +182,20 @@ def split_items(df: DataFrame, key: str, text: str, first_line: str | None = Non
 
 
 def oversized_blocks(df: DataFrame, key: str, text: str, first_line: str | None = None, *, limit: int = LIMIT) -> DataFrame:
-    """(key, line_no) of the first line of every block over the limit: where split_items has to cut inside a block."""
+    """(key, line_no) of the first line of every block that split_items has to cut inside, because it alone is over the limit.
+
+    The cuts of the pieces are looked up in the sorted blocks; a block may also be cut for want of a better
+    place, so those within the limit are then left out. A block over the limit always holds a cut, since no
+    piece reaches from its first to its last character.
+    """
 
     def rows(t: str, first: int):
-        return [(first + a,) for a, _, size in blocks_of(lines_of(t)) if size > limit]
+        marks = Boundaries(t)
+        ends = [b for _, b in pieces(t, limit, min(OVERLAP, (limit - 1) // 2), marks)]
+        for a, b, size in marks.blocks:
+            k = bisect_right(ends, marks.lines[a].start)
+            if k < len(ends) and ends[k] < marks.lines[b].end and size > limit:
+                yield (first + a,)
 
     long = df.filter(F.length(df[text]) > limit)
     chosen, run, schema = _batches(long, key, text, first_line, "line_no bigint", rows)

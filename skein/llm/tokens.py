@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import io
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 MEMO = 1 << 18
 #: Longer pieces are not remembered.
 MEMO_BYTES = 64
+#: Bytes of a piece that the transducer is given at once.
+CHUNK = 4_096
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -174,7 +177,7 @@ class Transducer:
         if ids is None:
             raw = text.encode("utf-8", "surrogatepass")
             whole = self.id_of.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.stream([raw]))
+            ids = (whole,) if whole is not None else tuple(self.stream(raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)))
             if len(raw) <= MEMO_BYTES:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -183,18 +186,23 @@ class Transducer:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; empty and null texts have none. Strings of special tokens are ordinary text."""
-        out: list[int] = []
+        return [*self.ids(text)]
+
+    def ids(self, text: str | None) -> Iterator[int]:
+        """Ids of a text as they become stable: nothing but the current piece's window is held, besides the memo of common pieces."""
         known, piece = self.memo, self.piece
-        for part in PATTERN.findall(text or ""):
-            out.extend(known.get(part) or piece(part))
-        return out
+        for m in PATTERN.finditer(text or ""):
+            part = m[0]
+            yield from known.get(part) or piece(part)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, through an incremental UTF-8 state machine; broken bytes become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [machine.decode(self.bytes_of[i]) for i in ids]
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        out = io.StringIO(newline="")
+        for i in ids:
+            out.write(machine.decode(self.bytes_of[i]))
+        out.write(machine.decode(b"", True))
+        return out.getvalue()
 
 
 @lru_cache(maxsize=4)

@@ -163,3 +163,21 @@ def test_queries_are_registered_with_their_columns():
 
     names = {re.match(r"p(\d)_", n)[1] for n in entry.queries() if re.match(r"p\d_", n)}
     assert names == set("12345678")
+
+
+def test_pieces_one_by_one_and_in_chunks_are_alike(encoder, monkeypatch):
+    text = "abc " * 50 + "=" * 9_001 + "é" * 700 + "\n" + "tail"
+    whole = encoder.encode(text)
+    monkeypatch.setattr(T, "CHUNK", 37)
+    encoder.memo.clear()
+    assert list(encoder.ids(text)) == whole and encoder.decode(iter(whole)) == text
+
+
+def test_oversized_blocks_are_where_the_pieces_cut():
+    rnd = random.Random(5)
+    for _ in range(60):
+        text = "\n".join(rnd.choice(["", "x" * rnd.randint(1, 90), "```", "word " * rnd.randint(1, 30)]) for _ in range(rnd.randint(1, 80)))
+        marks = S.Boundaries(text)
+        ends = [b for _, b in S.pieces(text, 100, 20, marks)]
+        for a, b, size in marks.blocks:
+            assert size <= 100 or any(marks.lines[a].start < e < marks.lines[b].end for e in ends)
