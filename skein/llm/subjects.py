@@ -45,14 +45,15 @@ LEAD = re.compile(r"\s*(?:(?:[-*>•]|\d+[.)])\s+|(?:USER|ASSISTANT|SYSTEM|User|
 BREAK = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+")
 WORD = regex.compile(r"\p{L}{3,}")
 ADDRESS = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@[\w-]+(?:\.[\w-]+)+|(?<!\w)(?:[\w.-]+/){1,}[\w.-]+")
-HIDDEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+HIDDEN = re.compile("[​‌‍⁠﻿­]")
 
 
 def sentences(text: str | None) -> list[tuple[str, str]]:
     """(sentence, heading above it) of a text; code, headings and marks of lists and turns are no sentences."""
     if not text:
         return []
-    text = text.translate(HIDDEN)
+    if not text.isascii():
+        text = HIDDEN.sub("", text)
     if "```" in text or "~~~" in text:
         text = FENCE.sub("\n", text)
     out, heading = [], ""
