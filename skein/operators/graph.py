@@ -14,7 +14,22 @@ OTHER, BOUNDS = 0.03, (-0.8, 0.25)
 #: Most partners of a memory by entity kind, and the relation that a shared entity stands for.
 PARTNERS = {"topic": 8, "agent": 6, "platform": 4, "origin": 4}
 MANY = 10
-RELATION = {"topic": "shares_topic", "agent": "same_agent", "platform": "same_origin", "origin": "same_origin", "file": "shares_file", "component": "shares_component", "tech": "shares_tech", "person": "same_person"}
+RELATION = {"topic": "shares_topic", "agent": "same_agent", "platform": "same_origin", "origin": "same_origin"}
+# What any other shared entity makes of two memories by their kinds, the first that holds; null stands for any kind.
+BY_KINDS = [
+    ("bug", "decision", "resolved_by"),
+    ("bug", "architecture", "resolved_by"),
+    ("decision", "bug", "resolves"),
+    ("bug", "snippet", "fixed_by"),
+    ("snippet", "bug", "fixes"),
+    ("decision", "architecture", "implements"),
+    ("decision", "pattern", "implements"),
+    ("architecture", "decision", "decided_by"),
+    ("todo", None, "depends_on"),
+    (None, "todo", "blocks"),
+]
+#: Kinds of entities that link; a project or a technology alone does not.
+LINKING = ("file", "component", "person", "agent", "topic", "platform", "origin")
 #: Rows of a run of an entity that one task goes through when it looks for the next ones.
 BLOCK = 4096
 
@@ -83,7 +98,9 @@ def following(rows: DataFrame, run: list[str], n: int, block: int) -> DataFrame:
 
 
 def shared_entities(entities: DataFrame, memories: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source_id, target_id, relation) by a shared entity: same project, or one side global; topics across projects too.
+    """(source_id, target_id, relation) by a shared entity, in both directions: same project, or one side global; topics across projects too.
+
+    The relation is that of the entity's kind, or else of the memories' kinds, seen from either side; of several the smallest.
 
     entities: (id, kind, value). Of an entity every memory keeps its next PARTNERS in id order among the rows
     that it may be linked to, after the last the first ones, so an entity that a third of all rows mention
@@ -92,6 +109,7 @@ def shared_entities(entities: DataFrame, memories: DataFrame, block: int = BLOCK
     into ranges and blocks does not alter the result.
     """
     # a range of ids is a partition of the sorted ids
+    entities = entities.filter(F.col("kind").isin(*LINKING))
     ranges = cut(memories.select("id", "project").filter("id is not null").orderBy("id")).withColumn("range", F.spark_partition_id())
     topic, everywhere = F.col("kind") == "topic", F.col("project").isNull()
     names = F.when(topic, F.array(F.lit("a"))).when(everywhere, F.array(F.lit("a"), F.lit("g"))).otherwise(F.array(F.lit("a"), F.concat(F.lit("p"), F.col("project"))))
@@ -116,11 +134,23 @@ def shared_entities(entities: DataFrame, memories: DataFrame, block: int = BLOCK
         limit = F.when(F.col("kind") == kind, n).otherwise(limit)
     # from the row on, then from the first one on
     order = F.transform(F.array_sort(F.transform("next", lambda x: F.struct((x < F.col("id")).alias("again"), x.alias("id")))), lambda x: x["id"])
-    relation = F.lit("relates_to")
+    hint = F.lit(None).cast("string")
     for kind, name in RELATION.items():
-        relation = F.when(F.col("kind") == kind, name).otherwise(relation)
-    one = both.select(F.col("id").alias("source_id"), F.explode(F.slice(order, F.lit(1), limit)).alias("target_id"), relation.alias("relation"))
-    return one.groupBy("source_id", "target_id").agg(F.min("relation").alias("relation"))
+        hint = F.when(F.col("kind") == kind, name).otherwise(hint)
+    one = both.select(F.col("id").alias("source_id"), F.explode(F.slice(order, F.lit(1), limit)).alias("target_id"), hint.alias("hint"))
+    kinds = memories.select("id", F.col("kind").alias("k"))
+    x = one.join(kinds.toDF("source_id", "a"), "source_id").join(kinds.toDF("target_id", "b"), "target_id")
+    there = x.select("source_id", "target_id", F.coalesce("hint", relation_of(F.col("a"), F.col("b"))).alias("relation"))
+    back = x.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.coalesce("hint", relation_of(F.col("b"), F.col("a"))).alias("relation"))
+    return there.unionByName(back).groupBy("source_id", "target_id").agg(F.min("relation").alias("relation"))
+
+
+def relation_of(source: Column, target: Column) -> Column:
+    """What two memories that share something are to each other, by their kinds."""
+    out = F.lit("relates_to")
+    for a, b, name in reversed(BY_KINDS):
+        out = F.when((source == a if a else F.lit(True)) & (target == b if b else F.lit(True)), name).otherwise(out)
+    return out
 
 
 def cooccurring(entities: DataFrame, words: DataFrame, limit: int = 4) -> DataFrame:
@@ -153,6 +183,7 @@ TOPIC = {"search": "search retrieval recall query", "storage": "cache store inde
 AGENT = "claude copilot cursor gemini codex chatgpt windsurf aider".split()
 HINTS = "service module component worker helper handler controller adapter client proxy store cache index batch api ui cli sync".split()
 FILE = r"[\w.\-]+(?:/[\w.\-]+)+\.[A-Za-z]{1,7}|\b[\w\-]+\.(?:py|rs|ts|js|go|md)\b"
+COMPONENT = r"\b[a-z][a-z0-9]+-(?:" + "|".join(HINTS) + r")\b"
 PERSON = r"(?:@[A-Za-z][\w\-]{1,30}\b)|(?:(?:Spoke with|Met|Thanks|Hi|Hello|Dear|Bonjour|Merci) (?:(?:Mr|Mrs|Ms|Dr|Prof)\. )?)([A-Z][a-zà-ÿ]{1,19}(?: [A-Z][a-zà-ÿ]{1,19})?)"
 
 
@@ -170,7 +201,7 @@ def entities(df: DataFrame) -> DataFrame:
     transcript = F.col("content").rlike(r"(?m)^(?:USER|ASSISTANT):")
     origin = F.when(transcript, F.lit("ai_transcript")).when(F.col("content").rlike(r"(?m)^(?:```|~~~)"), F.lit("codebase")).otherwise(F.lit("notes"))
     files = F.regexp_extract_all("content", F.lit(FILE), F.lit(0))
-    components = F.regexp_extract_all(F.lower("content"), F.lit(r"\b[a-z][a-z0-9]+-(?:" + "|".join(HINTS) + r")\b"), F.lit(0))
+    components = F.regexp_extract_all(F.lower("content"), F.lit(COMPONENT), F.lit(0))
     persons = F.filter(F.regexp_extract_all("content", F.lit(PERSON), F.lit(1)), lambda p: p != "")
     everything = F.concat(single("project", F.col("project")), single("origin", origin), topics, listed("tech", TECH), listed("agent", AGENT), found("file", files), found("component", components), found("person", persons))
     return row.select("id", F.explode(everything).alias("e")).select("id", "e.kind", "e.value").distinct()

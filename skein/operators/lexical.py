@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.stem import stems
 from skein.functions.text import terms
 
 #: Weight of a hit by field; a field that is not named weighs 1.
 WEIGHTS = {"content": 8.0, "tags": 5.0, "kind": 2.0, "project": 4.0}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Most terms of a query table that is broadcast.
+MOST_ASKED = 100_000
+# Words that tell a French query.
+FRENCH_WORDS = "le la les des une est dans pour avec sur qui que quand quel quelle nous vous ou pas du et au aux ce cette".split()
+
+
+def small(asked: DataFrame) -> DataFrame:
+    """A query table, broadcast if it is small: beyond MOST_ASKED terms the join shuffles."""
+    return F.broadcast(asked) if asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED else asked
 
 
 def positions(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
@@ -29,18 +41,50 @@ def lengths(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return df.select(F.col(key).alias("key"), total.alias("len"))
 
 
+class Index(NamedTuple):
+    """A store's tokens (key, field, term, pos) and sizes (key, len), as a deployment keeps them."""
+
+    places: DataFrame
+    sizes: DataFrame
+    words: DataFrame | None = None
+
+    def vocabulary(self) -> DataFrame:
+        """(term) of all texts, once each."""
+        return self.words.select("term") if self.words is not None else self.places.select("term").distinct()
+
+    def stems(self) -> DataFrame:
+        """(term, form): each word with its stems of either language, so that texts need no stemmed copy."""
+        if self.words is not None:
+            return self.words.select("term", F.explode("forms").alias("form"))
+        return stem_forms(self.vocabulary()).select("term", F.explode("forms").alias("form"))
+
+
+def stem_forms(vocabulary: DataFrame) -> DataFrame:
+    """(term, forms): a word and its English and French stems."""
+    return vocabulary.select("term", F.array_distinct(F.concat(F.array("term"), stems(F.array("term"), F.lit("both")))).alias("forms"))
+
+
+def stemmed(asked: DataFrame) -> DataFrame:
+    """(query, n, term): the words of a query as stems: French where its text looks French, else English; words of two letters stay."""
+    french = asked.groupBy("query").agg(F.when(F.max(F.col("term").isin(*FRENCH_WORDS).cast("int")) == 1, "fr").otherwise("en").alias("lang"))
+    return asked.join(F.broadcast(french), "query").select("query", "n", F.coalesce(F.get(stems(F.array("term"), F.col("lang")), F.lit(0)), "term").alias("term"))
+
+
 def matched_terms(index: DataFrame, asked: DataFrame, *, prefix: bool) -> DataFrame:
     """(query, n, term): the terms of the index that the query's n-th term stands for: itself, or with prefix=True all it begins.
 
-    Prefixes are looked up in the vocabulary only, by equality on the prefixes of the query terms' lengths.
+    Prefixes are looked up in the vocabulary only, by equality on the prefixes of the query terms' lengths; an
+    index with a column "form" is matched by that instead of by its terms. The query table is checked: it has to
+    be smaller than MOST_ASKED terms to be broadcast.
     """
     if not prefix:
-        return F.broadcast(asked)
+        return small(asked)
+    form = "form" if "form" in index.columns else "term"
     sized = asked.withColumn("size", F.length("term"))
     sizes = [r["size"] for r in sized.select("size").distinct().collect()]  # lengths of words, a few
-    heads = F.filter(F.array(*(F.struct(F.lit(x).alias("size"), F.substring("term", 1, x).alias("head")) for x in sizes or [1])), lambda h: F.length("term") >= h["size"])
-    vocabulary = index.select("term").distinct().select("term", F.explode(heads).alias("h")).select("term", "h.size", "h.head")
-    return vocabulary.join(F.broadcast(sized.withColumnRenamed("term", "head")), ["head", "size"]).select("query", "n", "term")
+    heads = F.filter(F.array(*(F.struct(F.lit(x).alias("size"), F.substring(form, 1, x).alias("head")) for x in sizes or [1])), lambda h: F.length(form) >= h["size"])
+    vocabulary = index.select("term", *[form] * (form != "term")).distinct().select("term", F.explode(heads).alias("h")).select("term", "h.size", "h.head")
+    return vocabulary.join(small(sized.withColumnRenamed("term", "head")), ["head", "size"]).select("query", "n", "term").distinct()
 
 
 def counted(tokens: DataFrame) -> DataFrame:
@@ -61,10 +105,38 @@ def match_terms(index: DataFrame, asked: DataFrame, *, prefix: bool) -> DataFram
 def all_terms(hits: DataFrame, asked: DataFrame) -> DataFrame:
     """The hits of rows that match every term of their query."""
     need = asked.groupBy("query").agg(F.count_distinct("n").alias("need"))
-    full = hits.groupBy("query", "key").agg(F.count_distinct("n").alias("have")).join(F.broadcast(need), "query").filter("have = need")
+    full = hits.groupBy("query", "key").agg(F.count_distinct("n").alias("have")).join(need, "query").filter("have = need")
     return hits.join(full.select("query", "key"), ["query", "key"])
 
 
+def weight_of(weights: dict[str, float]) -> Column:
+    weight = F.lit(1.0)
+    for name, w in weights.items():
+        weight = F.when(F.col("field") == name, w).otherwise(weight)
+    return weight
+
+
+def side_by_side(places: Column, need: Column) -> Column:
+    """Whether the terms 0 to need - 1 stand side by side in a field; places: array of (n, at: array of (field, pos)) of one row."""
+    starts = F.transform(F.filter(places, lambda x: x["n"] < need), lambda x: F.transform(x["at"], lambda a: F.struct(a["field"], (a["pos"] - x["n"]).alias("pos"))))
+    common = F.aggregate(starts, F.get(starts, F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
+    return (F.size(starts) == need) & (F.size(F.coalesce(common, F.array().cast("array<struct<field:string,pos:int>>"))) > 0)
+
+
+def clumped(places: Column, need: Column, distance: int = 8) -> Column:
+    """Whether the terms 0 to need - 1 stand in a field with at most `distance` tokens between the first and the last; as for side_by_side."""
+    mine = F.filter(places, lambda x: x["n"] < need)
+    every = F.array_sort(F.flatten(F.transform(mine, lambda x: F.transform(x["at"], lambda a: F.struct(a["field"], a["pos"], x["n"].cast("int").alias("n"))))))
+    start = F.struct(F.lit("").alias("field"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("last"), F.lit(False).alias("ok"))
+
+    def step(acc, x):
+        known = F.map_filter(acc["last"], lambda k, v: (k != x["n"]) & (acc["field"] == x["field"]))
+        last = F.map_concat(known, F.create_map(x["n"], x["pos"]))
+        return F.struct(x["field"].alias("field"), last.alias("last"), (acc["ok"] | ((F.size(last) == need) & (x["pos"] - F.array_min(F.map_values(last)) - 1 <= distance))).alias("ok"))
+
+    return (F.size(mine) == need) & F.aggregate(every, start, step, lambda a: a["ok"])
+
+
 def bm25(hits: DataFrame, sizes: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(query, key, score), larger is better: one phrase a query term, hits weighted by field.
 
@@ -72,15 +144,17 @@ def bm25(hits: DataFrame, sizes: DataFrame, weights: dict[str, float] = WEIGHTS)
     fields; the idf is not below LEAST_IDF.
     """
     stats = sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean"))
-    weight = F.lit(1.0)
-    for name, w in weights.items():
-        weight = F.when(F.col("field") == name, w).otherwise(weight)
+    weight = weight_of(weights)
     per = hits.groupBy("query", "n", "key").agg(F.sum(weight * F.col("tf")).alias("freq"))
     df_of = per.groupBy("query", "n").agg(F.count(F.lit(1)).alias("df"))
     x = per.join(df_of, ["query", "n"]).join(sizes, "key").crossJoin(F.broadcast(stats))  # one row
+    return x.groupBy("query", "key").agg(F.sum(bm25_term()).alias("score"))
+
+
+def bm25_term() -> Column:
+    """What one term gives, from the columns freq, df, len, rows and mean."""
     idf = F.greatest(F.ln((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    one = idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return x.groupBy("query", "key").agg(F.sum(one).alias("score"))
+    return idf * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
 
 
 def phrase(places: DataFrame, asked: DataFrame) -> DataFrame:
@@ -90,8 +164,8 @@ def phrase(places: DataFrame, asked: DataFrame) -> DataFrame:
     terms, a plain grouped count instead of a self-join.
     """
     need = asked.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    hit = places.join(F.broadcast(asked), "term").select("query", "key", "field", (F.col("pos") - F.col("n")).alias("at"), "n").distinct()
-    full = hit.groupBy("query", "key", "field", "at").agg(F.count(F.lit(1)).alias("have")).join(F.broadcast(need), "query").filter("have = need")
+    hit = places.join(small(asked), "term").select("query", "key", "field", (F.col("pos") - F.col("n")).alias("at"), "n").distinct()
+    full = hit.groupBy("query", "key", "field", "at").agg(F.count(F.lit(1)).alias("have")).join(need, "query").filter("have = need")
     return full.groupBy("query", "key", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -102,9 +176,9 @@ def near(places: DataFrame, asked: DataFrame, distance: int = 8) -> DataFrame:
     one sorted pass over the hits of a row decides.
     """
     need = asked.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
-    hit = places.join(F.broadcast(asked), "term").select("query", "key", "field", "pos", "n")
+    hit = places.join(small(asked), "term").select("query", "key", "field", "pos", "n")
     lists = hit.groupBy("query", "key", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("h"), F.count_distinct("n").alias("have"))
-    ready = lists.join(F.broadcast(need), "query").filter("have = need")
+    ready = lists.join(need, "query").filter("have = need")
     # fold over the occurrences: last position by term, and whether a clump was found
     start = F.struct(F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("last"), F.lit(False).alias("ok"))
 

@@ -224,3 +224,21 @@ def gc_plan(df: DataFrame, as_of: str, **options) -> DataFrame:
     groups = candidates.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kind", "project"))).filter("n > 1").select("id", F.lit(True).alias("hit"))
     return df.join(groups, "id", "left").select("id", F.when(expired(as_of), "expire").when(F.col("hit"), "merge").otherwise("keep").alias("action"))
 
+
+
+def inserted(df: DataFrame, key: str, text: str, bucket: list[str], time: str, threshold: float = MERGE) -> DataFrame:
+    """(id, group) of every row as if the rows were inserted one by one, by time and key: a row joins an equal or similar one that stands, else it stands itself.
+
+    A row that was merged is no row of its own any more, so what is similar to it alone stands; of several
+    similar ones the earliest takes the row. Similarity is that of the texts as they came: a merged row keeps
+    the words of the first, so that the result does not depend on how rows are spread. Equal word sets are one
+    class, which comes in with its earliest row; classes are grouped greedily in the order of coming in. Rows
+    without words join equal texts of their bucket.
+    """
+    placed = df.withColumn("o", F.concat(F.coalesce(F.date_format(F.col(time).cast("timestamp"), "yyyyMMddHHmmssSSSSSS"), F.lit("")), F.lit("\u0001"), F.col(key).cast("string")))
+    pairs = similar_word_sets(placed, "o", text, bucket, threshold)
+    groups = seed_groups(pairs).toDF("group", "id")
+    named = with_copies(groups, cut(copies(placed, "o", text, bucket, wordless=True)))
+    name = lambda c: F.substring_index(F.col(c), "\u0001", -1)
+    known = named.select(name("id").alias("id"), name("group").alias("group"))
+    return df.select(F.col(key).alias("id")).distinct().join(known, "id", "left").select("id", F.coalesce("group", "id").alias("group"))

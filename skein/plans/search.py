@@ -20,20 +20,51 @@ from skein.operators import lexical as L
 from skein.operators import vectors as V
 from skein.operators.folds import never_rising
 from skein.operators.relational import age_days, expired, has_tag
-from skein.session import cut
+from skein.session import cut, stored
 
 #: The published constant of reciprocal rank fusion, as used here, and the rank of what a lane did not find.
 RRF_K, MISSING = 40, 1000
 FIRST_VARIANT, OTHER_VARIANTS, VECTORS, WIDE = 150, 75, 100, 30
 
-# Fixed values, authored for this library: words that tell what a question is after.
+# What in a question (lower case) asks for something, and what in a memory answers it.
 INTENT = {
-    "preference": "prefer preference favourite favorite like rather préfère choice".split(),
-    "update": "latest current now changed update updated newest still actuel".split(),
-    "temporal": "when first last before after ago since yesterday week month quand date".split(),
-    "technical": "error bug function code config deploy cache index build test api".split(),
+    "preference": ["prefer", "preference", "like", "favorite", "favourite", "would rather", "préfère", "préférence", "aime", "favori", "plutôt"],
+    "temporal": ["when", "before", "after", "first", "last", "latest", "recent", "currently", "now", "timeline", "previously", "earlier", "ensuite", "avant", "après", "dernier", "récemment", "maintenant", "actuellement"],
+    "user_turn": ["user", "human", "i said", "i told", "j'ai dit", "je voulais", "utilisateur"],
+    "assistant_turn": ["assistant", "you said", "claude", "cursor", "chatgpt", "tu as dit"],
+    "update": ["changed", "updated", "correction", "actually", "instead", "not anymore", "now uses", "switch", "switched", "remplace", "corrige", "modifié", "désormais", "maintenant", "en fait", "plutôt"],
+    "technical": ["bug", "error", "stack", "architecture", "api", "database", "file", "function", "component", "deploy", "build", "benchmark", "embedding", "reranker"],
 }
-TECHNICAL_KINDS = ("bug", "snippet", "architecture", "pattern")
+ANSWER = {
+    "preference": ["prefer", "préf", "like", "aime", "favorite", "plutôt"],
+    "update": ["changed", "updated", "actually", "instead", "correction", "switch", "maintenant", "désormais", "en fait"],
+    "opening": ["first", "initial", "started"],
+    "time": ["today", "yesterday", "now", "maintenant"],
+}
+UPDATE_KINDS, TECHNICAL_KINDS = ("decision", "architecture", "fact"), ("architecture", "decision", "bug", "snippet", "pattern")
+# Fixed values of the local rerank: the same flags by shorter lists, and their signals.
+LOCAL_INTENT = {
+    "preference": ["prefer", "preference", "favorite", "favourite", "like", "préf", "aime", "favori"],
+    "temporal": ["when", "before", "after", "last", "recent", "ago", "week", "month", "avant", "après", "dernier", "semaine", "mois"],
+    "user_turn": ["i said", "i told", "user", "j'ai dit"],
+    "assistant_turn": ["you said", "assistant", "claude", "cursor", "chatgpt", "tu as dit"],
+    "update": ["changed", "updated", "actually", "instead", "switch", "correction", "modifié", "en fait", "plutôt"],
+}
+LOCAL_ANSWER = {
+    "preference": ["prefer", "favorite", "favourite", "like", "would rather", "i usually", "i often", "i enjoy", "i love", "i tend", "i think", "i recently", "i've been", "my ", "préf", "aime", "favori"],
+    "temporal": ["today", "yesterday", "last ", "ago", "week", "month", "maintenant", "hier", "semaine"],
+    "update": ["changed", "updated", "actually", "instead", "switched", "correction", "modifié", "désormais", "en fait"],
+}
+LOCAL_STOP = ["what", "when", "where", "which", "with", "that", "this", "then", "than", "have", "about", "your", "pour", "dans", "avec", "quoi", "quel", "quelle", "est-ce"]
+# Questions that get more candidates before sessions are fused, and other words for terms of sessions.
+WIDER = ["when", "before", "after", "last", "ago", "week", "month", "prefer", "favorite", "favourite", "like", "suggest", "recommend", "tips", "should", "what did", "who did", "what was"]
+SESSION_STOP = ["what", "when", "where", "which", "with", "that", "this", "then", "than", "have", "about", "your", "from", "during", "there", "some"]
+ALIASES = {
+    "monday": "mon", "tuesday": "tue", "wednesday": "wed", "thursday": "thu", "friday": "fri", "saturday": "sat", "sunday": "sun",
+    "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
+}
+#: Kinds of entities that tell two texts belong together.
+RELIABLE = ("file", "component", "person", "agent", "topic", "platform", "origin")
 
 
 @dataclass(frozen=True)
@@ -62,22 +93,41 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.posexplode(terms(F.col("text"))).alias("n", "term"))
 
 
-def lexical_lane(queries: DataFrame, rows: DataFrame, weights: dict[str, float] = L.WEIGHTS) -> DataFrame:
-    """(query, id, bm25_rank): the best rank over the variants: all words as prefixes, side by side, near each other."""
-    asked = query_terms(queries)
-    fields = fields_of(rows)
-    # one pass over the texts: the tokens that any variant can use, which are few, end in a table of their own
-    places, sizes = L.positions(rows, "id", fields), cut(L.lengths(rows, "id", fields))
-    tokens = cut(places.join(L.matched_terms(places, asked, prefix=True), "term"))
-    full = L.rank(L.bm25(L.all_terms(L.counted(tokens), asked), sizes, weights), FIRST_VARIANT)
-    own = tokens.join(F.broadcast(asked), ["query", "n", "term"])
-    exact, whole = L.bm25(L.counted(own), sizes, weights), own.select("key", "field", "term", "pos").distinct()
-    several = asked.groupBy("query").agg(F.count(F.lit(1)).alias("k")).filter("k between 2 and 8").select("query")
-    short = asked.filter("n < 6").join(several, "query", "left_semi")
-    side = L.phrase(whole, short).select("query", "key").distinct()
-    close = L.near(whole, asked.filter("n < 5").join(several, "query", "left_semi")).select("query", "key").distinct()
-    ranked = [full.select("query", "key", "rank")] + [L.rank(exact.join(v, ["query", "key"]), OTHER_VARIANTS).select("query", "key", "rank") for v in (side, close)]
-    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).groupBy("query", F.col("key").alias("id")).agg(F.min("rank").alias("bm25_rank"))
+def lexical_lane(queries: DataFrame, rows: DataFrame, weights: dict[str, float] = L.WEIGHTS, index: L.Index | None = None) -> DataFrame:
+    """(query, id, bm25_rank): the best rank over the variants: all words as prefixes, side by side, near each other, and as stems.
+
+    index: the stored index of the store that rows are of (else it is made of rows); rows are those that may be found.
+    """
+    asked = cut(query_terms(queries))  # a few rows a query, read by every step
+    index = index or L.Index(L.positions(rows, "id", fields_of(rows)), L.lengths(rows, "id", fields_of(rows)))
+    mine = rows.select(F.col("id").alias("key"))
+    sizes = index.sizes.join(mine, "key", "left_semi")
+    stemmed = cut(L.stemmed(asked))
+    forms = L.matched_terms(index.vocabulary(), asked, prefix=True).withColumn("lane", F.lit("prefix")).unionByName(L.matched_terms(index.stems(), stemmed, prefix=True).withColumn("lane", F.lit("stem")))
+    forms = forms.join(L.small(asked.withColumnRenamed("term", "word")), ["query", "n"]).withColumn("own", F.col("term") == F.col("word")).drop("word")
+    # one pass over the tokens that any variant can use; what is left of a memory is one row for each of its terms
+    hits = index.places.join(L.small(cut(forms)), "term").join(mine, "key", "left_semi").withColumn("w", L.weight_of(weights))
+    own = F.col("own") & (F.col("lane") == "prefix")
+    place = F.struct("field", F.col("pos").cast("int").alias("pos"))
+    per = hits.groupBy("query", "lane", "n", "key").agg(F.sum("w").alias("freq"), F.sum(F.when(own, F.col("w"))).alias("own_freq"), F.collect_set(F.when(own, place)).alias("at"))
+    each = F.array(F.struct("lane", "freq", F.array().cast("array<struct<field:string,pos:int>>").alias("at")), F.when(F.col("own_freq").isNotNull(), F.struct(F.lit("exact").alias("lane"), F.col("own_freq").alias("freq"), "at")))
+    per = stored(per.select("query", "n", "key", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("query", "n", "key", "x.*"))
+    known = F.broadcast(per.groupBy("query", "lane", "n").agg(F.count(F.lit(1)).alias("df")))  # a row for each term of a query
+    stats = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean")))
+    scored = per.join(known, ["query", "lane", "n"]).join(sizes, "key").crossJoin(stats)
+    found = scored.groupBy("query", "lane", "key").agg(F.sum(L.bm25_term()).alias("score"), F.count(F.lit(1)).alias("have"), F.array_sort(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "at"))).alias("places"))
+    # the stemmed variant counts where stemming changes the query
+    changed = stemmed.join(asked, ["query", "n", "term"], "left_anti").select("query").distinct().withColumn("changed", F.lit(True))
+    need = asked.groupBy("query").agg(F.count(F.lit(1)).cast("int").alias("need")).join(changed, "query", "left")
+    several, exact = F.col("need").between(2, 8), F.col("lane") == "exact"
+    whole = (F.col("have") == F.col("need")) & ~exact & ((F.col("lane") == "prefix") | F.col("changed"))
+    side = exact & (F.col("need") >= 2) & L.side_by_side(F.col("places"), F.least("need", F.lit(6)))
+    close = exact & several & L.clumped(F.col("places"), F.least("need", F.lit(5)))
+    lanes = F.filter(F.array(F.when(whole, F.col("lane")), F.when(side, F.lit("phrase")), F.when(close, F.lit("near"))), lambda x: x.isNotNull())
+    ranked = found.join(L.small(need), "query").select("query", "key", "score", F.explode(lanes).alias("lane"))
+    rank = F.row_number().over(Window.partitionBy("query", "lane").orderBy(F.desc("score"), "key"))
+    kept = ranked.withColumn("rank", rank).filter((F.col("rank") <= OTHER_VARIANTS) | ((F.col("lane") == "prefix") & (F.col("rank") <= FIRST_VARIANT)))
+    return kept.groupBy("query", F.col("key").alias("id")).agg(F.min("rank").alias("bm25_rank"))
 
 
 def vector_lane(queries: DataFrame, vectors: DataFrame, top: int = VECTORS) -> DataFrame:
@@ -120,17 +170,23 @@ def recency(as_of: str) -> Column:
     return F.when(age <= 3, 1.05).when(age >= 30, 1.0).otherwise(1 + 0.05 * (30 - age) / 27)
 
 
-def intent_factor(words: Column) -> Column:
-    """Up to 1.35 where the question is after something that the memory's kind, turn or text shows."""
-    asks = {k: F.arrays_overlap(words, F.array(*(F.lit(x) for x in ws))) for k, ws in INTENT.items()}
-    low = F.lower("content")
-    turn = F.try_to_number(F.regexp_extract("id", r"__t(\d+)$", 1), F.lit("999999")).cast("int")
-    one = F.lit(1.0)
-    one = one * F.when(asks["preference"] & ((F.col("kind") == "preference") | contains_any(low, ["prefer", "préfère", "rather"])), 1.16).otherwise(1.0)
-    one = one * F.when(asks["update"] & contains_any(low, ["now ", "changed", "moved", "replace"]), 1.1).otherwise(1.0)
-    one = one * F.when(asks["temporal"] & (turn >= 20), 1.08).when(asks["temporal"] & (turn <= 2), 1.05).otherwise(1.0)
-    one = one * F.when(asks["temporal"] & low.rlike(r"\d{4}-\d\d-\d\d|monday|tuesday|wednesday|thursday|friday"), 1.05).otherwise(1.0)
-    one = one * F.when(asks["technical"] & F.col("kind").isin(*TECHNICAL_KINDS), 1.07).otherwise(1.0)
+def asks(text: Column, flags: dict[str, list[str]]) -> dict[str, Column]:
+    """What a question is after, by flag."""
+    low = F.lower(text)
+    return {k: contains_any(low, ws) for k, ws in flags.items()}
+
+
+def intent_factor(text: Column) -> Column:
+    """Up to 1.35 where the question (its text) is after something that the memory's kind, turn or content shows."""
+    after, low, one = asks(text, INTENT), F.lower("content"), F.lit(1.0)
+    lead = F.ltrim(low)
+    turn = F.try_to_number(F.regexp_extract("id", r"__t(\d{1,9})$", 1), F.lit("999999999")).cast("int")
+    when = lambda ask, shown, by: F.when(ask & shown, by).otherwise(1.0)
+    one = one * when(after["preference"], (F.col("kind") == "preference") | contains_any(low, ANSWER["preference"]), 1.16)
+    one = one * when(after["user_turn"], lead.startswith("user:"), 1.12) * when(after["assistant_turn"], lead.startswith("assistant:"), 1.12)
+    one = one * when(after["update"], F.col("kind").isin(*UPDATE_KINDS) | contains_any(low, ANSWER["update"]), 1.1)
+    one = one * F.when(after["temporal"] & (turn >= 20), 1.08).when(after["temporal"] & (turn <= 2) & contains_any(low, ANSWER["opening"]), 1.05).otherwise(1.0)
+    one = one * when(after["temporal"], contains_any(low, ANSWER["time"]), 1.05) * when(after["technical"], F.col("kind").isin(*TECHNICAL_KINDS), 1.07)
     return F.least(one, F.lit(1.35))
 
 
@@ -155,7 +211,7 @@ def expansion(queries: DataFrame, triples: DataFrame, entities: DataFrame, most:
     return fresh.withColumn("r", F.row_number().over(all_)).filter(F.col("r") <= most).groupBy("query").agg(F.array_sort(F.collect_list("extra")).alias("extra"))
 
 
-def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame, index: L.Index | None = None) -> DataFrame:
     """(query, id, score, sources, ...) of all candidates: fused ranks times every factor.
 
     queries: (query, text, v). Filters of project, kind, visibility and expiry come before the lanes.
@@ -167,9 +223,9 @@ def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors:
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     vec = vectors.join(rows.select("id"), "id", "left_semi")
-    lex, near = lexical_lane(queries, rows, options.weights), vector_lane(queries, vec)
+    lex, near = lexical_lane(queries, rows, options.weights, index), vector_lane(queries, vec)
     both = cut(lex.join(near, ["query", "id"], "full"))  # at most a few hundred rows a query
-    asked = query_terms(queries).groupBy("query").agg(F.collect_list("term").alias("words"))
+    asked = queries.select("query", F.coalesce("text", F.lit("")).alias("asked"), terms(F.col("text")).alias("words"))
     x = both.join(rows, "id").join(F.broadcast(asked), "query")  # the query table is small
     x = x.join(F.broadcast(cut(expansion(queries, triples, entities))), "query", "left")
     x = x.join(G.link_boosts(links), "id", "left").join(K.support(triples, options.as_of[:10]).withColumnRenamed("memory_id", "id"), "id", "left")
@@ -178,7 +234,7 @@ def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors:
     watched = sum((low.contains(k.lower()).cast("int") for k in options.keywords), F.lit(0))
     factors = {
         "f_coverage": coverage_factor(coverage(F.col("content"), F.col("words"))),
-        "f_intent": intent_factor(F.col("words")),
+        "f_intent": intent_factor(F.col("asked")),
         "f_activation": activation(options.as_of),
         "f_importance": importance_factor(),
         "f_recency": recency(options.as_of),
@@ -248,62 +304,102 @@ def greedy(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return tamed.select("query", F.explode(F.arrays_zip("x", "s")).alias("z")).select("query", "z.x.id", F.col("z.s").alias("score"), "z.x.place")
 
 
-def reranked(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Local rerank: more for texts that hold the query's longer words, or the query itself; at most 1.35 in all; four digits."""
-    asked = queries.select("query", F.lower("text").alias("asked"), F.filter(terms(F.col("text")), lambda w: F.length(w) >= 4).alias("long"))
-    x = rows.join(F.broadcast(asked), "query")
-    low = F.lower("content")
-    share = F.size(F.filter("long", lambda w: low.contains(w))) / F.nullif(F.size("long"), F.lit(0))
-    factor = F.when(share >= 0.5, 1 + 0.1 * share).otherwise(1.0) * F.when((F.length("asked") >= 12) & low.contains(F.col("asked")), 1.12).otherwise(1.0)
-    return x.withColumn("score", F.round(F.col("score") * F.least(factor, F.lit(1.35)), 4)).drop("asked", "long")
+def local_factor(text: Column, kind: Column, key: Column, content: Column, shared: Column) -> Column:
+    """Factor of the local rerank, up to 1.35: longer words of the question held, the question held as it is, entities in common, five signals."""
+    asked, low = F.lower(text), F.lower(content)
+    after, lead = asks(text, LOCAL_INTENT), F.ltrim(low)
+    long = F.filter(F.split(asked, "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*LOCAL_STOP))
+    share = F.size(F.filter(long, lambda w: low.contains(w))) / F.nullif(F.size(long), F.lit(0))
+    when = lambda condition, by: F.when(condition, by).otherwise(1.0)
+    factor = when(share >= 0.5, 1 + 0.1 * share) * when((F.length(asked) >= 12) & low.contains(asked), 1.12) * (1 + F.least(0.05 * F.coalesce(shared, F.lit(0)), F.lit(0.15)))
+    factor = factor * when(after["preference"] & ((kind == "preference") | contains_any(low, LOCAL_ANSWER["preference"])), 1.08)
+    factor = factor * when(after["temporal"] & (key.contains("__t") | contains_any(low, LOCAL_ANSWER["temporal"])), 1.06)
+    factor = factor * when(after["user_turn"] & lead.startswith("user:"), 1.07) * when(after["assistant_turn"] & lead.startswith("assistant:"), 1.07)
+    return F.least(factor * when(after["update"] & contains_any(low, LOCAL_ANSWER["update"]), 1.07), F.lit(1.35))
+
 
+def entities_in_common(rows: DataFrame, queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query, id, shared): how many reliable entities a question and a row have in common, whatever their kinds."""
+    own = G.entities(queries.select(F.col("query").alias("id"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("content")))
+    told = own.filter(F.col("kind").isin(*RELIABLE)).select(F.col("id").alias("query"), F.lower("value").alias("value")).distinct()
+    there = entities.filter(F.col("kind").isin(*RELIABLE)).join(rows.select("query", "id"), "id").select("query", "id", F.lower("value").alias("value")).distinct()
+    return there.join(told, ["query", "value"]).groupBy("query", "id").agg(F.count(F.lit(1)).alias("shared"))
 
-def session_fused(rows: DataFrame, limit: int, *, least_rows: int = 8) -> DataFrame:
+
+def reranked(rows: DataFrame, queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """Local rerank of (query, id, kind, content, score, ...) by local_factor; four digits."""
+    x = rows.join(queries.select("query", F.coalesce("text", F.lit("")).alias("asked")), "query").join(entities_in_common(rows, queries, entities), ["query", "id"], "left")
+    return x.withColumn("score", F.round(F.col("score") * local_factor(F.col("asked"), F.col("kind"), F.col("id"), F.col("content"), F.col("shared")), 4)).drop("asked", "shared")
+
+
+def session_terms(text: Column) -> Column:
+    """Longer words of a question, and the other words for days and numbers in it."""
+    low = F.lower(text)
+    long = F.filter(F.split(low, "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*SESSION_STOP))
+    other = F.filter(F.array(*(F.when(low.contains(w), F.lit(x)) for w, x in ALIASES.items())), lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(long, other))
+
+
+def session_fused(rows: DataFrame, limit: int, queries: DataFrame | None = None, *, least_rows: int = 8) -> DataFrame:
     """(query, id, score, place) of the final rows: where at least eight look like turns of sessions, the best of every session first.
 
-    A session's value is 0.82 of its best score, 0.18 of the mean of its best three and a little for every
-    further hit. Leftovers follow by score. Without enough sessions it is the plain best `limit`.
+    A session's value is 0.82 of its best score, 0.18 of the mean of its best three, a little for every further
+    hit and for the terms of the question (queries, with rows' content) that one of its best three holds.
+    Leftovers follow by score. Without enough sessions it is the plain best `limit`.
     """
-    key = F.regexp_extract("id", r"^(.*)__t\d+$", 1)
-    x = rows.withColumn("session", F.when(key != "", key))
+    key = F.regexp_extract("id", r"(?s)^(.+?)__t", 1)
+    hits = F.lit(0)
+    if queries is not None:
+        rows = rows.join(queries.select("query", session_terms(F.coalesce("text", F.lit(""))).alias("terms")), "query")
+        low = F.lower("content")
+        hits = F.size(F.filter("terms", lambda t: low.contains(t)))
+    x = rows.withColumn("session", F.when(key != "", key)).withColumn("hits", hits)
     q = Window.partitionBy("query")
-    s = Window.partitionBy("query", F.coalesce("session", "id"))
+    s = Window.partitionBy("query", F.coalesce("session", F.concat(F.lit("\u0001"), "id")))
     order = [F.desc("score"), F.asc("id")]
     x = x.withColumn("rank", F.row_number().over(q.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(q)).withColumn("turns", F.count("session").over(q))
-    x = x.withColumn("sessions", F.size(F.collect_set(F.coalesce("session", "id")).over(q))).withColumn("in_session", F.row_number().over(s.orderBy(*order)))
+    x = x.withColumn("sessions", F.size(F.collect_set("session").over(q))).withColumn("in_session", F.row_number().over(s.orderBy(*order)))
     three = F.avg(F.when(F.col("in_session") <= 3, F.col("score"))).over(s)
     count = F.count(F.lit(1)).over(s)
-    value = 0.82 * F.max("score").over(s) + 0.18 * three + 0.012 * F.greatest(F.least(count, F.lit(4)) - 1, F.lit(0))
+    value = 0.82 * F.max("score").over(s) + 0.18 * three + 0.012 * F.greatest(F.least(count, F.lit(4)) - 1, F.lit(0)) + 0.008 * F.max(F.when(F.col("in_session") <= 3, F.col("hits"))).over(s)
     diverse = (F.col("n") > limit) & (F.col("turns") >= least_rows) & (F.col("sessions") >= F.least(F.lit(limit), F.lit(5)))
-    x = x.withColumn("value", value).withColumn("group", F.when(diverse & (F.col("in_session") > 1), 1).otherwise(0))
+    x = x.withColumn("value", value).withColumn("group", F.when(diverse & ((F.col("in_session") > 1) | F.col("session").isNull()), 1).otherwise(0))
     final = Window.partitionBy("query").orderBy("group", F.when(diverse & (F.col("group") == 0), -F.col("value")).otherwise(-F.col("score")), "rank")
     return x.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= limit).select("query", "id", "score", "place")
 
 
-def search(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame) -> DataFrame:
+def search(queries: DataFrame, memories: DataFrame, options: Options, *, vectors: DataFrame, links: DataFrame, triples: DataFrame, entities: DataFrame, index: L.Index | None = None) -> DataFrame:
     """(query, place, id, score, sources): the whole search, for all queries at once."""
     wide = max(options.limit, min(3 * options.limit, WIDE))
-    top = best(fused(queries, memories, options, vectors=vectors, links=links, triples=triples, entities=entities), wide)
+    top = best(fused(queries, memories, options, vectors=vectors, links=links, triples=triples, entities=entities, index=index), wide)
+    # more candidates only for questions after time or liking
+    top = top.filter((F.col("rank") <= options.limit) | contains_any(F.lower("asked"), WIDER))
     # the few rows of each query that are left are read several times: lineage ends here
-    top = cut(top.select("query", "id", "score", "sources", "content", "kind", "session_id", "rank"))
+    top = cut(top.select("query", "id", F.round("score", 4).alias("score"), "sources", "content", "kind", "session_id", "rank"))
     rows = cut(with_neighbours(top, memories, links, options))
     topics = entities.filter(F.col("kind").isin("topic", "file", "component"))
     pairs = G.adjacency(links, topics, rows.select("query", "id").distinct())
     ordered = greedy(rows, pairs)
     full = ordered.join(rows.drop("score"), ["query", "id"])
-    final = session_fused(reranked(full, queries), options.limit)
+    final = session_fused(reranked(full, queries, entities), options.limit, queries)
     return final.join(rows.select("query", "id", "sources"), ["query", "id"]).select("query", "place", "id", "score", "sources")
 
 
+def accesses(results: DataFrame, memories: DataFrame, as_of: str) -> DataFrame:
+    """(memory_id, project, client, accessed_at, received_at): the accesses that a search's results are, one a memory, to append to the access log."""
+    at = F.lit(as_of).cast("timestamp_ntz")
+    found = results.select("id").distinct().join(memories.select("id", "project"), "id")
+    return found.select(F.col("id").alias("memory_id"), "project", F.lit("search").alias("client"), at.alias("accessed_at"), at.alias("received_at"))
+
+
 # --- interfaces for a cross-encoder -------------------------------------------------------------------------
 
 
 def hard_query(text: Column) -> Column:
     """Whether a query deserves the slower model: it asks after time, preference or change, or is not English."""
-    low = F.lower(text)
-    words = F.concat(*(F.array(*(F.lit(w) for w in INTENT[k])) for k in ("temporal", "preference", "update")))
+    after = asks(text, INTENT)
     foreign = text.rlike("[àâçéèêëîïôùûœäöüß]|[\\u3040-\\u30ff\\u4e00-\\u9fff]|\\b(?:le|la|les|quand|quel|der|die|das|wann)\\b")
-    return F.arrays_overlap(F.split(low, "[^\\p{L}]+"), words) | foreign
+    return after["temporal"] | after["preference"] | after["update"] | foreign
 
 
 def cross_encoded(rows: DataFrame, queries: DataFrame, model, *, top: int = 12, gate: float = 0.25, weight: float = 0.55, most: int = 1400) -> DataFrame:

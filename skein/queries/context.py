@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from skein.operators.folds import never_rising, within_budget
 from skein.plans import context as C
-from skein.queries.relational import EXP, PIN
-from skein.tables import AS_OF, M, links, memories
+from skein.queries.relational import AGE, EXP, PIN
+from skein.tables import AS_OF, L, M, links, memories
 
 
 def recall_project(s, d):
@@ -67,6 +67,8 @@ SQL = {
     "recall_critical": f"""WITH {M}, x AS (SELECT *, lower(concat_ws(' ', content, array_to_string(tags, ' '))) AS low FROM m WHERE (project = 'nimbus-relay' OR project IS NULL) AND kind <> 'credential' AND importance >= 4 AND NOT {EXP}),
         y AS (SELECT id, updated_at, CASE WHEN project = 'nimbus-relay' THEN 8 ELSE 2 END + 4 * (CAST(contains(low, 'cache') AS INT) + CAST(contains(low, 'lease') AS INT)) + 2 * importance + least(coalesce(access_count, 0), 5) AS score FROM x)
         SELECT id, score FROM y ORDER BY score DESC, updated_at DESC NULLS LAST, id LIMIT 12""",
+    "recall_explain": f"""WITH {M}, {L}, g AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM l UNION ALL SELECT target_id FROM l) GROUP BY 1)
+        SELECT m.id, round(importance / 3, 6) AS importance_part, round(0.25 * greatest(1 - coalesce(greatest({AGE.format('updated_at')}, 0), 30) / 30, 0.0), 6)::DOUBLE AS recency_part, round(least(0.02 * coalesce(access_count, 0), 0.2), 6)::DOUBLE AS access_part, round(least(0.03 * coalesce(n, 0), 0.15), 6)::DOUBLE AS graph_part FROM m LEFT JOIN g ON g.id = m.id""",
     "pinned_budget": FOLD.format(M=M, LISTS=LISTS, stop="false"),
     "budget_stop": FOLD.format(M=M, LISTS=LISTS, stop="true"),
     "score_clamp": f"""WITH RECURSIVE {M}, x AS (SELECT project, CAST(importance AS DOUBLE) AS v, row_number() OVER (PARTITION BY project ORDER BY id) AS n FROM m WHERE project IS NOT NULL),

@@ -128,10 +128,20 @@ E2 = "e2 AS (SELECT source_id AS node, target_id AS next FROM l UNION SELECT tar
 BFS = """WITH RECURSIVE {L}, {E2}, b AS (SELECT root, root AS node, 0 AS depth FROM r0 UNION SELECT root, next, depth + 1 FROM b JOIN e2 USING (node) WHERE depth < {n}), seen AS (SELECT root, node, min(depth) AS depth FROM b GROUP BY 1, 2)"""
 TOPICS = " UNION ALL ".join(f"SELECT id, 'topic' AS kind, '{t}' AS value FROM ws WHERE list_has_any(w, {ws.split()!r})" for t, ws in G.TOPIC.items())
 FOLD = "translate(lower(content), 'àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž', 'aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorrssstuuuuuuuuyyzzz')"
+quoted = lambda p: "'" + p.replace("'", "''") + "'"
 ENT = f"""ws AS (SELECT id, project, string_split_regex({FOLD}, '[^a-z0-9]+') AS w, content FROM m), topics AS ({TOPICS}),
+  files AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, {quoted(G.FILE)})) AS value FROM m), parts AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), {quoted(G.COMPONENT)})) AS value FROM m),
+  persons AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(content, {quoted(G.PERSON)}, 1), lambda x: x <> '')) AS value FROM m),
+  named AS (SELECT id, 'tech' AS kind, unnest(list_intersect(w, {G.TECH!r})) AS value FROM ws UNION ALL SELECT id, 'agent', unnest(list_intersect(w, {G.AGENT!r})) FROM ws UNION ALL SELECT id, 'file', value FROM files UNION ALL SELECT id, 'component', value FROM parts UNION ALL SELECT id, 'person', value FROM persons),
   ent AS (SELECT * FROM topics UNION ALL SELECT id, 'project', project FROM m WHERE project IS NOT NULL UNION ALL
   SELECT id, 'origin', CASE WHEN regexp_matches(content, '(?m)^(?:USER|ASSISTANT):') THEN 'ai_transcript' WHEN regexp_matches(content, '(?m)^(?:```|~~~)') THEN 'codebase' ELSE 'notes' END FROM m)"""
 TOP = "top AS (SELECT project AS query, id FROM (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY updated_at DESC NULLS LAST, id) AS r FROM m WHERE project IS NOT NULL) WHERE r <= {0})"
+ALL_ENT = "every AS (SELECT DISTINCT id, kind, value FROM ent UNION SELECT DISTINCT id, kind, value FROM named)"
+SHARED_ALL = "SELECT DISTINCT a.query, a.id AS a, b.id AS b FROM top a JOIN every x ON x.id = a.id JOIN every y ON x.value = y.value AND x.kind = y.kind JOIN top b ON b.id = y.id AND b.query = a.query AND a.id < b.id"
+LINKED = "SELECT a.query, least(a.id, b.id), greatest(a.id, b.id) FROM l JOIN top a ON a.id = source_id JOIN top b ON b.id = target_id AND a.query = b.query"
+COOCCUR = """, n AS (SELECT word, b.value, count(DISTINCT b.id) AS n FROM words JOIN {0} a ON lower(a.value) = word JOIN {0} b ON a.id = b.id AND lower(b.value) <> lower(a.value) GROUP BY 1, 2)
+        SELECT word, value, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, value) AS r FROM n) WHERE r <= 4"""
+LINES = r"string_split(content, chr(10))"
 SHARED = "SELECT DISTINCT a.query, a.id AS a, b.id AS b FROM top a JOIN topics x ON x.id = a.id JOIN topics y ON x.value = y.value JOIN top b ON b.id = y.id AND b.query = a.query AND a.id < b.id"
 
 SQL = {
@@ -144,6 +154,15 @@ SQL = {
     "entity_topics": f"WITH {M}, {ENT} SELECT DISTINCT id, kind, value FROM ent",
     "entity_cooccurrence": f"""WITH {M}, {ENT}, words AS (SELECT unnest(['storage', 'incident', 'notes', 'nimbus-relay']) AS word), n AS (SELECT word, b.value, count(DISTINCT b.id) AS n FROM words JOIN ent a ON lower(a.value) = word JOIN ent b ON a.id = b.id AND lower(b.value) <> lower(a.value) GROUP BY 1, 2)
         SELECT word, value, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, value) AS r FROM n) WHERE r <= 4""",
+    "find_related": BFS.format(L=L, E2=E2, n=2) + rf""", {M.replace("WITH ", "")} SELECT root, node, depth, kind, least(length(trim(regexp_replace(content, '\\s+', ' ', 'g'))), 150) AS shown FROM seen JOIN m ON m.id = node WHERE depth > 0""",
+    "entity_counts": f"WITH {M}, {ENT}, {ALL_ENT} SELECT kind, count(*) AS n, count(DISTINCT value) AS n_values FROM every GROUP BY 1",
+    "project_entities": f"""WITH {M}, {ENT}, {ALL_ENT}, c AS (SELECT kind, value, count(*) AS n FROM every WHERE id IN (SELECT id FROM m WHERE project = 'nimbus-relay') AND kind IN ('tech', 'component', 'file', 'person') GROUP BY 1, 2)
+        SELECT kind, value, n FROM c QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) <= 15""",
+    "entity_cooccurrence_all": f"WITH {M}, {ENT}, {ALL_ENT}, words AS (SELECT unnest(['storage', 'incident', 'notes', 'nimbus-relay', 'sql', 'cursor']) AS word)" + COOCCUR.format("every"),
+    "coherence_pairs_all": f"WITH {M}, {ENT}, {ALL_ENT}, {TOP.format(5)} {SHARED_ALL}",
+    "adjacency_pairs_all": f"WITH {M}, {L}, {ENT}, {ALL_ENT}, {TOP.format(20)} {SHARED_ALL} UNION {LINKED}",
+    "corpus_profile": rf"""WITH {M}, x AS (SELECT len({LINES}) AS n, len(list_filter({LINES}, lambda s: regexp_matches(s, '^(?:USER|ASSISTANT):'))) AS marks, len(list_filter({LINES}, lambda s: regexp_matches(s, '^(?:```|~~~|    |\t)'))) AS code FROM m)
+        SELECT CASE WHEN marks > 0 THEN 'ai_transcript' WHEN code * 3 >= n THEN 'codebase' WHEN n > 3 THEN 'notes' ELSE 'memory' END AS origin, CASE WHEN marks >= 3 THEN 0.95 WHEN marks > 0 THEN 0.8 WHEN code * 2 >= n THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, count(*) AS n FROM x GROUP BY 1, 2""",
     "coherence_pairs": f"WITH {M}, {ENT}, {TOP.format(5)} {SHARED}",
     "adjacency_pairs": f"WITH {M}, {L}, {ENT}, {TOP.format(20)} {SHARED} UNION SELECT a.query, least(a.id, b.id), greatest(a.id, b.id) FROM l JOIN top a ON a.id = source_id JOIN top b ON b.id = target_id AND a.query = b.query",
 }

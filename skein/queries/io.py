@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skein.operators.relational import visible
+from skein.queries.lifecycle import CAPSULES
 from skein.session import prepare
 from skein.sources import readers as I
 from skein.sources import writers as O
@@ -42,7 +43,7 @@ def import_folder(s, d):
     """Texts of a folder: every project's documents as one text file, the first twenty by path."""
     at = folder(s)
     m = memories(s, d).filter("project is not null").select("project", F.regexp_replace("content", "\\s+", " ").alias("value"))
-    m.write.partitionBy("project").text(at)
+    m.repartition("project").write.partitionBy("project").text(at)
     return I.text_folder(s, at).select(F.regexp_extract("path", r"project=([^/]+)", 1).alias("project"), (F.length("text") > 0).alias("has_text")).distinct()
 
 
@@ -67,7 +68,12 @@ def import_questions(s, d):
 
 QUERIES = {f.__name__: f for f in (export_json, export_markdown, export_sessions, cleaned_text, import_folder, import_legacy, import_questions)}
 
+CLEANED = rf"""substr(array_to_string(list_filter(string_split_regex(content, '\r?\n'), lambda x: NOT regexp_matches(x, '{O.NOISE}'))[1:{O.LINES}], chr(10)), 1, {O.CHARACTERS})"""
 SQL = {
+    "cleaned_text": f"WITH {M} SELECT id, {CLEANED} AS text FROM m",
+    "export_sessions": f"""WITH {M}, {CAPSULES}, d AS (SELECT session_id, count(*) AS n, string_agg('### ' || kind || chr(10) || {CLEANED}, chr(10) || chr(10) ORDER BY created_at NULLS FIRST, id) AS t, strftime(min(created_at), '%Y-%m-%d') AS since FROM m WHERE session_id IS NOT NULL AND kind <> 'credential' GROUP BY 1)
+        SELECT d.session_id, d.n, length(concat_ws(chr(10) || chr(10), '---' || chr(10) || 'session: ' || d.session_id || chr(10) || 'rows: ' || d.n || chr(10) || 'since: ' || since || chr(10) || '---', capsule, t)) AS n_chars FROM d LEFT JOIN caps ON caps.session_id = d.session_id""",
+    "import_folder": f"WITH {M} SELECT project, true AS has_text FROM (SELECT DISTINCT project FROM m WHERE project IS NOT NULL) ORDER BY project || '/' LIMIT 20",
     "export_json": f"WITH {M} SELECT id, kind, project, importance, length(content) AS n_chars, len(tags) AS n_tags FROM m",
     "export_markdown": rf"""WITH {M}, v AS (SELECT * FROM m WHERE kind <> 'credential'), r AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY importance DESC, created_at NULLS FIRST, id) AS line_no,
         concat_ws(' ', '- ' || regexp_replace(content, '\s*\n\s*', ' ', 'g'), repeat('★', importance), nullif(array_to_string(list_transform(tags, lambda t: '`' || t || '`'), ' '), '')) AS line FROM v)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import lifecycle as Y
-from skein.operators.components import components
 from skein.queries.relational import AGE, EXP, PIN
 from skein.session import cut
 from skein.tables import AS_OF, M, memories
@@ -33,11 +32,11 @@ def dedupe_report(s, d):
 
 
 def merge_on_insert(s, d):
+    """What inserting the rows one by one, oldest first, leaves of those that were merged."""
     m = memories(s, d)
-    pairs = Y.similar_word_sets(m, "id", "content", ["project", "kind"], Y.MERGE)
-    groups = components(pairs, "a", "b").toDF("id", "group")
-    everyone = Y.with_copies(groups, cut(Y.copies(m, "id", "content", ["project", "kind"], wordless=True)))
-    return Y.merged(m, everyone).select("group", F.length("content").alias("n_chars"), "importance", F.size("tags").alias("n_tags"), "session_id", "n")
+    groups = cut(Y.inserted(m, "id", "content", ["project", "kind"], "created_at"))
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    return Y.merged(m, groups.join(several, "group", "left_semi")).select("group", F.md5("content").alias("content_md5"), "importance", "tags", "session_id", "n")
 
 
 def gc_scores(s, d):
@@ -84,7 +83,19 @@ SCORE = f"""least(0.4 * (1 - (importance - 1) / 4) + 0.3 * least(greatest(coales
 GC = f"""gc AS (SELECT *, {AGE.format('updated_at')} AS age, {SCORE} AS score FROM m WHERE kind IN ('bug', 'snippet', 'note', 'todo') AND NOT {PROT} AND NOT {EXP} AND importance < 3 AND {AGE.format('updated_at')} >= 30),
   cand AS (SELECT *, row_number() OVER (PARTITION BY kind, project ORDER BY score DESC, id) AS place FROM gc WHERE score > 0.6 QUALIFY place <= 10)"""
 SETS = lambda least, by: f"ws AS (SELECT id, project, kind, list_sort(list_distinct(list_filter(string_split({NORM}, ' '), lambda w: length(w) >= {least}))) AS w FROM m), cl AS (SELECT min(id) AS id, {by}, w FROM ws WHERE len(w) > 0 GROUP BY {by}, w)"
+# the first sentence of a text, as functions.text has it
+FIRST = r"""substr(CASE WHEN regexp_extract(trim(content), '(?s)^(.{24,}?[.!?])(?:\s|$)', 1) <> '' AND length(regexp_extract(trim(content), '(?s)^(.{24,}?[.!?])(?:\s|$)', 1)) <= 200
+  THEN regexp_replace(regexp_extract(trim(content), '(?s)^(.{24,}?[.!?])(?:\s|$)', 1), '\s+', ' ', 'g') ELSE string_split(trim(content), chr(10))[1] END, 1, 200)"""
+CAPSULES = f"""cw AS (SELECT session_id, id, created_at, {FIRST} AS s, importance + CASE WHEN kind = 'decision' THEN 5 WHEN kind IN ('architecture', 'preference') THEN 4 WHEN kind IN ('bug', 'milestone') THEN 3 ELSE 1 END AS v FROM m WHERE session_id IS NOT NULL AND kind <> 'credential'),
+  cr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY v DESC, created_at NULLS FIRST, id) AS r FROM cw), caps AS (SELECT session_id, count(*) AS n, string_agg('- ' || s, chr(10) ORDER BY r) FILTER (WHERE r <= 6) AS capsule FROM cr GROUP BY 1 HAVING count(*) >= 2)"""
+SUMMED = lambda rows, by, label, words, bullets: f"""src AS ({rows}), o AS (SELECT *, {FIRST} AS s, row_number() OVER (PARTITION BY {by} ORDER BY importance DESC, updated_at DESC NULLS LAST, id) AS r FROM src), b AS (SELECT {by}, count(*) AS n, string_agg('- ' || s, chr(10) ORDER BY r) FILTER (WHERE r <= {bullets}) AS bl FROM o GROUP BY {by}),
+  t AS (SELECT {by}, unnest(list_distinct(list_filter(string_split({NORM}, ' '), lambda w: length(w) >= 4 AND NOT list_contains({Y.STOP!r}, w)))) AS term FROM src), c AS (SELECT {by}, term, count(*) AS df FROM t GROUP BY ALL), k AS (SELECT {by}, string_agg(term, ', ' ORDER BY df DESC, term) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY df DESC, term) AS r FROM c) WHERE r <= {words} GROUP BY {by})
+  SELECT {', '.join('b.' + x.strip() for x in by.split(','))}, n, {label} || ' (' || n || '): ' || coalesce(kw, '') || chr(10) || bl AS summary FROM b LEFT JOIN k ON {' AND '.join(f'b.{x.strip()} IS NOT DISTINCT FROM k.{x.strip()}' for x in by.split(','))}"""
 SQL = {
+    "session_capsules": f"WITH {M}, {CAPSULES} SELECT session_id, n, capsule FROM caps",
+    "gc_summaries": f"WITH {M}, {GC}, " + SUMMED("SELECT * FROM cand", "kind, project", "'Merged ' || b.kind", 5, 8),
+    "capsule_summaries": f"""WITH {M}, x AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY updated_at NULLS FIRST, id) - 1) // 10 AS chunk FROM m WHERE kind NOT IN ('credential', 'architecture', 'preference') AND NOT {PROT} AND importance <= 3 AND {AGE.format('updated_at')} >= 14),
+        """ + SUMMED("SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY project) >= 3 AND count(*) OVER (PARTITION BY project, chunk) >= 2", "project, chunk", "'Capsule'", 8, 6),
     "exact_dups": f"WITH {M} SELECT project, count(*) AS n, min(id) AS keep FROM m GROUP BY project, content HAVING count(*) > 1",
     "jaccard_pairs": f"""WITH {M}, {SETS(1, 'project, kind')}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS c, len(a.w) + len(b.w) AS t FROM cl a JOIN cl b ON a.project IS NOT DISTINCT FROM b.project AND a.kind IS NOT DISTINCT FROM b.kind AND a.id < b.id)
         SELECT a, b, round(c / (t - c), 6) AS similarity FROM p WHERE c / (t - c) >= 0.85 - 1e-12""",

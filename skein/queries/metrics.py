@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from skein.functions.text import terms
 from skein.operators import lexical as L
 from skein.operators import metrics as E
+from skein.queries.graph import FOLD
 from skein.session import cut
 from skein.tables import M, memories, table
 
 
 def self_queries(s, d):
-    """The stated query set: every memory whose hashed id is divisible by 50 asks, against all, with its own first eight words."""
-    m = memories(s, d).filter("kind not in ('transcript', 'credential')")
-    chosen = m.filter(F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
+    """The stated query set: every memory whose id, hashed to two hex digits, is divisible by 50 asks, against all, with its own first eight words."""
+    digit = lambda k: F.expr(f"instr('0123456789abcdef', substring(md5(id), {k}, 1)) - 1")
+    chosen = memories(s, d).filter((digit(1) * 16 + digit(2)) % 50 == 0)
     return chosen.select(F.col("id").alias("query"), "id", "project", F.array_join(F.slice(terms(F.col("content")), 1, 8), " ").alias("text"), "kind")
 
 
@@ -65,7 +66,22 @@ def access_latency(s, d):
 
 QUERIES = {f.__name__: f for f in (ir_metrics, ir_metrics_by_kind, recall_quality, session_match, session_buckets, access_latency)}
 
+TERMS = rf"list_filter(string_split_regex({FOLD}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+SELF = rf"""w AS (SELECT id, kind, project, {TERMS} AS ts FROM m), q AS (SELECT id AS query, kind, project, id, ts[1:8] AS qs FROM w WHERE ((instr('0123456789abcdef', md5(id)[1]) - 1) * 16 + instr('0123456789abcdef', md5(id)[2]) - 1) % 50 = 0),
+  qt AS (SELECT query, unnest(qs) AS term, unnest(range(len(qs))) AS n FROM q), pos AS (SELECT id, unnest(ts) AS term FROM w), tf AS (SELECT id, term, count(*) AS freq FROM pos WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), per AS (SELECT query, n, id, freq FROM tf JOIN qt USING (term)),
+  dfs AS (SELECT query, n, count(*) AS df FROM per GROUP BY 1, 2), st AS (SELECT count(*) AS nrows, avg(len(ts)) AS mean FROM w),
+  sc AS (SELECT query, id, round(sum(greatest(ln((nrows - df + 0.5) / (df + 0.5)), 1e-6) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * len(ts) / mean))), 6) AS s FROM per JOIN dfs USING (query, n) JOIN w USING (id), st GROUP BY 1, 2),
+  res AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM sc QUALIFY rank <= 10)"""
+RANKED = lambda by="": f"""SELECT {by}count(*) AS n_queries, round(avg(CAST(coalesce(r, 9999) <= 1 AS INT)), 6) AS r_at_1, round(avg(CAST(coalesce(r, 9999) <= 5 AS INT)), 6) AS r_at_5, round(avg(CAST(coalesce(r, 9999) <= 10 AS INT)), 6) AS r_at_10, round(avg(coalesce(1 / r, 0)), 6) AS mrr,
+  round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1.0::DOUBLE) ELSE 0 END), 6) AS ndcg_at_10 FROM hit"""
 SQL = {
+    "ir_metrics": f"WITH {M}, {SELF}, hit AS (SELECT q.query, min(rank) AS r FROM q LEFT JOIN res USING (query, id) GROUP BY 1) {RANKED()}",
+    "ir_metrics_by_kind": f"WITH {M}, {SELF}, hit AS (SELECT q.query, kind, min(rank) AS r FROM q LEFT JOIN res USING (query, id) GROUP BY 1, 2) {RANKED('kind, ')} GROUP BY kind",
+    "session_match": rf"""WITH {M}, {SELF}, gold AS (SELECT query, regexp_extract(query, '^(.*)__t\d+$', 1) AS id FROM q WHERE regexp_matches(query, '^.+__t\d+$')), named AS (SELECT query, coalesce(nullif(regexp_extract(id, '^(.*)__t\d+$', 1), ''), id) AS id, min(rank) AS rank FROM res GROUP BY 1, 2),
+        hit AS (SELECT gold.query, min(rank) AS r FROM gold LEFT JOIN named USING (query, id) GROUP BY 1) {RANKED()}""",
+    "recall_quality": f"""WITH {M}, {SELF}, five AS (SELECT q.query, rank, res.id = q.id AS own, q.project IS NOT NULL AND m.project IS NOT NULL AND q.project <> m.project AS leak, m.kind = 'credential' AS secret FROM res JOIN m ON m.id = res.id JOIN q ON q.query = res.query WHERE rank <= 5),
+        pq AS (SELECT query, max(CAST(own AND rank = 1 AS INT)) AS a, max(CAST(own AS INT)) AS b, max(CAST(leak AS INT)) AS c, max(CAST(secret AS INT)) AS e FROM five GROUP BY 1)
+        SELECT count(*) AS n_specs, round(avg(coalesce(a, 0)), 2) AS top1, round(avg(coalesce(b, 0)), 2) AS top5, round(avg(coalesce(c, 0)), 2) AS project_leak, round(avg(coalesce(e, 0)), 2) AS credential_leak FROM q LEFT JOIN pq USING (query)""",
     "session_buckets": rf"""WITH {M}, x AS (SELECT regexp_extract(id, '^(.*)__t\d+$', 1) AS session, importance, id FROM m), y AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY importance DESC, id) AS r FROM x WHERE session <> '')
         SELECT session, count(*) AS n, max(importance) AS best, round(avg(importance) FILTER (WHERE r <= 3), 6) AS mean3 FROM y GROUP BY 1""",
     "access_latency": """WITH a AS (SELECT DISTINCT * FROM access_stream), x AS (SELECT client, (epoch_us(received_at) - epoch_us(accessed_at)) // 1000 AS ms FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY client) AS n FROM x WHERE ms IS NOT NULL)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import terms
 from skein.operators import graph as G
+from skein.operators import lexical as L
 from skein.operators import vectors as V
 from skein.plans import search as P
+from skein.queries.graph import ALL_ENT, ENT
 from skein.queries.relational import AGE
-from skein.session import cut
-from skein.tables import AS_OF, M, links, memories, table, triples
+from skein.session import stored
+from skein.tables import AS_OF, M, T, links, memories, table, triples
 
 ASKED = {"q1": "cache holds entries", "q2": "root cause of the lease", "q3": "when was the exporter moved", "q4": "what do we prefer for the window", "q5": "nimbus-relay memory budget"}
 #: Documents as queries of the fusion query: their number is the vector's.
@@ -22,10 +27,27 @@ def asked(s):
     return q.withColumn("v", V.hashed_embedding(F.col("text")))
 
 
+#: What was built of a store in this application, by folder.
+_BUILT: dict[tuple[str, str], tuple] = {}
+
+
 def parts(s, d):
-    """The store with what a deployment keeps beside it: vectors, links and entities as tables of their own."""
-    m = cut(memories(s, d))
-    return m, {"vectors": cut(m.select("id", V.hashed_embedding(F.col("content")).alias("v"))), "links": cut(links(s, d)), "triples": cut(triples(s, d)), "entities": cut(G.entities(m))}
+    """The store with what a deployment keeps beside it: vectors, links, entities and the index, as stored tables built once an application and folder."""
+    known = (s.sparkContext.applicationId, d)
+    if known not in _BUILT:
+        m = stored(memories(s, d))
+        f = P.fields_of(m)
+        places, sizes = stored(L.positions(m, "id", f)), stored(L.lengths(m, "id", f))
+        index = L.Index(places, sizes, stored(L.stem_forms(places.select("term").distinct())))
+        _BUILT[known] = m, {"vectors": stored(m.select("id", V.hashed_embedding(F.col("content")).alias("v"))), "links": stored(links(s, d)), "triples": stored(triples(s, d)), "entities": stored(G.entities(m)), "index": index}
+    return _BUILT[known]
+
+
+def store_build(s, d):
+    """(part, n): the rows of every table that a search reads; the first call in an application builds them."""
+    m, more = parts(s, d)
+    tables = {"memories": m, "places": more["index"].places, "sizes": more["index"].sizes, "words": more["index"].words} | {k: more[k] for k in ("vectors", "links", "triples", "entities")}
+    return reduce(lambda a, b: a.unionByName(b), (t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n") for k, t in tables.items()))
 
 
 def hybrid_search(s, d):
@@ -46,13 +68,12 @@ def search_trace(s, d):
 
 
 def lexical_lane(s, d):
-    return P.lexical_lane(asked(s), memories(s, d))
+    m, more = parts(s, d)
+    return P.lexical_lane(asked(s), m, index=more["index"])
 
 
 def hybrid_rrf_top10(s, d):
     """Documents by BM25 and by vector, fused."""
-    from skein.operators import lexical as L
-
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     q = s.createDataFrame([(k, t, v) for k, (t, v) in FUSED.items()], "query string, text string, vec_id long")
     words = q.select("query", F.posexplode(terms(F.col("text"))).alias("n", "term"))
@@ -77,22 +98,48 @@ def search_factors(s, d):
     )
 
 
+#: Questions whose words are subjects or objects of facts and entities.
+NAMED = 3
+
+
 def query_expansion(s, d):
-    m = memories(s, d)
-    return P.expansion(asked(s).select("query", F.regexp_replace("text", "-", " ").alias("text")), triples(s, d), G.entities(m))
+    """What facts and shared memories add to three questions, each of which names two subjects of facts and a topic."""
+    t = triples(s, d).filter("subject rlike '^[a-z]{3,}$'").groupBy("subject").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "subject").limit(2 * NAMED)
+    w = Window.orderBy(F.desc("n"), "subject")  # over six rows
+    numbered = t.withColumn("r", F.row_number().over(w) - 1)
+    q = numbered.groupBy(F.concat(F.lit("e"), F.floor(F.col("r") / 2)).alias("query")).agg(F.concat(F.array_join(F.sort_array(F.collect_list("subject")), " "), F.lit(" storage")).alias("text"))
+    return P.expansion(q, triples(s, d), G.entities(memories(s, d)))
 
 
 def session_diversity(s, d):
-    """Turns of sessions, best of each first."""
-    turns = memories(s, d).filter(F.col("id").rlike("__t[0-9]+$")).select(F.lit("q").alias("query"), "id", (F.col("importance") + F.length("content") / 100000.0).alias("score"))
-    return P.session_fused(turns, 10).select("place", "id", F.round("score", 6).alias("score"))
+    """Turns of sessions, best of each first, for one question with a day and a number in it."""
+    q = s.createDataFrame([("q", "what was the cache window on two mondays")], "query string, text string")
+    turns = memories(s, d).filter(F.col("id").rlike("__t[0-9]+$")).select(F.lit("q").alias("query"), "id", "content", (F.col("importance") + F.length("content") / 100000.0).alias("score"))
+    return P.session_fused(turns, 10, q).select("place", "id", F.round("score", 6).alias("score"))
+
+
+#: Questions of the rerank over the whole table, one for each flag and one for none.
+RERANKED = {"r1": "which cache do we prefer", "r2": "what changed instead of the lease last week", "r3": "what did the user say", "r4": "the assistant said before", "r5": "cache holds entries"}
 
 
 def rerank_local(s, d):
-    q = asked(s).select("query", "text")
-    rows = memories(s, d).filter("project = 'onyx-nest'").select("id", "content", F.lit(0.5).alias("score"))
-    each = rows.join(F.broadcast(q.select("query")), F.lit(True))  # a handful of queries
-    return P.reranked(each, q).select("query", "id", "score")
+    """All memories under every question, by a score that differs; the best twenty of each."""
+    q = s.createDataFrame([*RERANKED.items()], "query string, text string")
+    m, more = parts(s, d)
+    rows = m.join(F.broadcast(q.select("query")), F.lit(True)).select("query", "id", "kind", "content", (0.3 + 0.02 * F.col("importance")).alias("score"))  # a handful of questions
+    return P.best(P.reranked(rows, q, more["entities"].filter("kind in ('topic', 'origin')")), 20).select("query", "id", "score", "rank")
+
+
+def intent_factors(s, d):
+    """The factor of every memory for a question of each kind."""
+    m = memories(s, d)
+    return m.select("id", *(F.round(P.intent_factor(F.lit(t)), 6).alias(k) for k, t in RERANKED.items()))
+
+
+def search_accesses(s, d):
+    """What a search adds to the access log."""
+    m, more = parts(s, d)
+    return P.accesses(P.search(asked(s), m, P.Options(AS_OF), **more), m, AS_OF)
 
 
 def rerank_cross(s, d):
@@ -113,7 +160,39 @@ def file_context(s, d):
     return P.search(q, m, P.Options(AS_OF, limit=5, keywords=("field", "state", "frame")), **more)
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_search_filtered, search_trace, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
+QUERIES = {f.__name__: f for f in (store_build, intent_factors, search_accesses, hybrid_search, hybrid_search_filtered, search_trace, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
+
+holds = lambda ws: "(" + " OR ".join(f"contains(low, {sql_text(w)})" for w in ws) + ")"
+sql_text = lambda w: "'" + w.replace("'", "''") + "'"
+flags = lambda text, lists: {k for k, ws in lists.items() if any(w in text for w in ws)}
+
+
+def factor(condition: str, by: object) -> str:
+    return f"CASE WHEN {condition} THEN {by} ELSE 1.0 END"
+
+
+def intent(text: str) -> str:
+    """The SQL of a question's intent factor."""
+    after, out = flags(text, P.INTENT), ["1.0::DOUBLE"]
+    kinds = lambda ks: f"kind IN ({', '.join(map(sql_text, ks))})"
+    out += [factor(f"kind = 'preference' OR {holds(P.ANSWER['preference'])}", 1.16)] * ("preference" in after)
+    out += [factor("starts_with(ltrim(low, ' '), 'user:')", 1.12)] * ("user_turn" in after) + [factor("starts_with(ltrim(low, ' '), 'assistant:')", 1.12)] * ("assistant_turn" in after)
+    out += [factor(f"{kinds(P.UPDATE_KINDS)} OR {holds(P.ANSWER['update'])}", 1.1)] * ("update" in after)
+    out += [f"CASE WHEN turn >= 20 THEN 1.08 WHEN turn <= 2 AND {holds(P.ANSWER['opening'])} THEN 1.05 ELSE 1.0 END * " + factor(holds(P.ANSWER["time"]), 1.05)] * ("temporal" in after)
+    out += [factor(kinds(P.TECHNICAL_KINDS), 1.07)] * ("technical" in after)
+    return " * ".join(out)
+
+
+def local(text: str) -> str:
+    """The SQL of a question's local rerank, over the entities that these questions hold: a topic for some, and the origin of all."""
+    after, long = flags(text, P.LOCAL_INTENT), [w for w in text.split() if len(w) >= 4 and w not in P.LOCAL_STOP]
+    share = " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in long)
+    shared = "notes" + (" + storage" if set(text.split()) & set(G.TOPIC["storage"].split()) else "")
+    out = ["1.0::DOUBLE", f"CASE WHEN ({share}) / {len(long)} >= 0.5 THEN 1 + 0.1 * ({share}) / {len(long)} ELSE 1.0 END", factor(f"contains(low, '{text}')", 1.12) if len(text) >= 12 else "1.0", f"(1 + least(0.05 * ({shared}), 0.15))"]
+    out += [factor(f"kind = 'preference' OR {holds(P.LOCAL_ANSWER['preference'])}", 1.08)] * ("preference" in after) + [factor(f"contains(id, '__t') OR {holds(P.LOCAL_ANSWER['temporal'])}", 1.06)] * ("temporal" in after)
+    out += [factor("starts_with(ltrim(low, ' '), 'user:')", 1.07)] * ("user_turn" in after) + [factor("starts_with(ltrim(low, ' '), 'assistant:')", 1.07)] * ("assistant_turn" in after) + [factor(holds(P.LOCAL_ANSWER["update"]), 1.07)] * ("update" in after)
+    return " * ".join(out)
+
 
 VALUES = ", ".join(f"('{k}', '{t}', {v})" for k, (t, v) in FUSED.items())
 FOLD = "translate(lower(coalesce(text, '')), 'àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž', 'aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorrssstuuuuuuuuyyzzz')"
@@ -131,7 +210,18 @@ SQL = {
         greatest(coalesce({AGE.format('last_accessed_at')}, {A}, 0), 0) AS used, coalesce({A}, 9999) AS age FROM m)
         SELECT id, round(CASE WHEN c >= 0.8 THEN 1 + 0.5 * (c - 0.8) ELSE 1.0 END, 6) AS coverage, round(1 + least(0.07 * least(ln(coalesce(access_count, 0) + 1.0) / ln(21.0), 1.0) + 0.05 * least(1 / (1 + used / 14), 1.0), 0.12), 5) AS activation,
         round(CAST(1 + 0.03 * (importance - 3) AS DOUBLE), 6) AS importance, round(CASE WHEN age <= 3 THEN 1.05 WHEN age >= 30 THEN 1.0 ELSE 1 + 0.05 * (30 - age) / 27 END, 6) AS recency FROM x""",
-    "rerank_local": f"""WITH {M}, q AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ASKED.items())}) v(query, text)), x AS (SELECT query, id, lower(content) AS low, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS long FROM m, q WHERE project = 'onyx-nest'),
-        y AS (SELECT *, len(list_filter(long, lambda w: contains(low, w))) / len(long) AS c FROM x)
-        SELECT query, id, round(0.5 * least(CASE WHEN c >= 0.5 THEN 1 + 0.1 * c ELSE 1.0 END * CASE WHEN length(text) >= 12 AND contains(low, lower(text)) THEN 1.12 ELSE 1.0 END, 1.35), 4) AS score FROM y""",
+    "intent_factors": f"WITH {M}, x AS (SELECT *, lower(content) AS low, try_cast(nullif(regexp_extract(id, '__t(\\d{{1,9}})$', 1), '') AS INT) AS turn FROM m) SELECT id, " + ", ".join(f"round(least({intent(t)}, 1.35), 6)::DOUBLE AS {k}" for k, t in RERANKED.items()) + " FROM x",
+    "rerank_local": f"""WITH {M}, {ENT}, o AS (SELECT id, count(*) FILTER (WHERE kind = 'topic' AND value IN ('storage')) AS storage, count(*) FILTER (WHERE kind = 'origin' AND value = 'notes') AS notes FROM (SELECT DISTINCT id, kind, value FROM ent) GROUP BY 1),
+        x AS (SELECT m.*, lower(content) AS low, 0.3 + 0.02 * importance AS base, storage, notes FROM m JOIN o USING (id)), y AS ({" UNION ALL ".join(f"SELECT '{k}' AS query, id, round(base * least({local(t)}, 1.35), 4)::DOUBLE AS score FROM x" for k, t in RERANKED.items())})
+        SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM y QUALIFY rank <= 20""",
+    "session_diversity": f"""WITH {M}, x AS (SELECT id, importance + length(content) / 100000.0::DOUBLE AS score, regexp_extract(id, '(?s)^(.+?)__t', 1) AS session, {' + '.join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in ('cache', 'window', 'mondays', 'mon', '2'))} AS hits FROM m WHERE regexp_matches(id, '__t[0-9]+$')),
+        y AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank, row_number() OVER (PARTITION BY session ORDER BY score DESC, id) AS i, count(*) OVER (PARTITION BY session) AS c, count(*) OVER () AS n, (SELECT count(DISTINCT session) FROM x) AS sessions FROM x),
+        z AS (SELECT *, 0.82 * max(score) OVER (PARTITION BY session) + 0.18 * avg(score) FILTER (WHERE i <= 3) OVER (PARTITION BY session) + 0.012 * greatest(least(c, 4) - 1, 0) + 0.008 * max(hits) FILTER (WHERE i <= 3) OVER (PARTITION BY session) AS v, n > 10 AND n >= 8 AND sessions >= 5 AS diverse FROM y)
+        SELECT row_number() OVER (ORDER BY CASE WHEN diverse AND i > 1 THEN 1 ELSE 0 END, CASE WHEN diverse AND i = 1 THEN -v ELSE -score END, rank) AS place, id, round(score, 6)::DOUBLE AS score FROM z QUALIFY place <= 10""",
+    "query_expansion": f"""WITH {M}, {T}, {ENT}, {ALL_ENT}, s AS (SELECT subject, row_number() OVER (ORDER BY count(*) DESC, subject) - 1 AS r FROM t WHERE regexp_matches(subject, '^[a-z]{{3,}}$') GROUP BY subject QUALIFY r < 6), q AS (SELECT 'e' || (r // 2) AS query, list_sort(list(subject)) || ['storage'] AS ws FROM s GROUP BY 1),
+        w AS (SELECT query, unnest(ws) AS word, unnest(range(len(ws))) AS n FROM q), now AS (SELECT DISTINCT subject, object FROM t WHERE valid_to IS NULL), co AS (SELECT word, b.value, count(DISTINCT b.id) AS n FROM (SELECT DISTINCT word FROM w) x JOIN every a ON lower(a.value) = word JOIN every b ON a.id = b.id AND lower(b.value) <> lower(a.value) GROUP BY 1, 2),
+        co4 AS (SELECT word, value FROM co QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, value) <= 4),
+        e AS (SELECT DISTINCT query, n, word, object AS extra, 0 AS lane FROM w JOIN now ON lower(subject) = word UNION SELECT query, n, word, subject, 1 FROM w JOIN now ON lower(object) = word UNION SELECT query, n, word, value, 2 FROM w JOIN co4 USING (word)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query, word, lane ORDER BY extra) AS r FROM e QUALIFY r <= 3 OR (lane = 2 AND r <= 4)), g AS (SELECT query, extra, min(n * 10 + lane) AS o FROM f WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.query = f.query AND w.word = f.extra) GROUP BY 1, 2),
+        h AS (SELECT query, extra FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY o, extra) <= 12) SELECT query, list_sort(list(extra)) AS extra FROM h GROUP BY 1""",
 }

@@ -28,15 +28,15 @@ def text_language(s, d):
 
 
 def text_stems(s, d):
-    m = memories(s, d)
-    return m.select("id", F.array_distinct(stems(X.terms(F.col("content")), K.language(F.col("content")))).alias("stems")).select("id", F.size("stems").alias("n_stems"))
+    """The distinct stems of every text, in order."""
+    return memories(s, d).select("id", F.array_sort(F.array_distinct(stems(X.terms(F.col("content")), K.language(F.col("content"))))).alias("stems"))
 
 
 def index_text(s, d):
     """What is indexed: the text and its stems."""
     m = memories(s, d)
     st = stems(X.terms(F.col("content")), K.language(F.col("content")))
-    return m.select("id", F.length(F.concat_ws(" ", "content", F.array_join(st, " "))).alias("n_chars"))
+    return m.select("id", F.concat_ws(" ", "content", F.array_join(st, " ")).alias("text"))
 
 
 def auto_classify(s, d):
@@ -59,26 +59,31 @@ def dated_prefix(s, d):
 
 
 def chunk_paragraphs(s, d):
-    return C.chunks(one_per_id(table(s, d, "memories").select("id", "content")), "id", "content").select("id", "n", F.length("text").alias("n_chars"), "start_line", "end_line")
+    return C.chunks(one_per_id(table(s, d, "memories").select("id", "content")), "id", "content").select("id", "n", "text", "start_line", "end_line")
 
 
 def chunk_code(s, d):
-    return C.chunks(memories(s, d), "id", "content", code=True).select("id", "n", F.length("text").alias("n_chars"), "start_line", "end_line")
+    return C.chunks(memories(s, d), "id", "content", code=True).select("id", "n", "text", "start_line", "end_line")
+
+
+def spoken(s, d):
+    """Memories that hold turns, whatever their kind says."""
+    return memories(s, d).filter(F.col("content").rlike(r"(?m)^\s*(?:USER|ASSISTANT|SYSTEM|User|Assistant|System)\s?:"))
 
 
 def transcript_segments(s, d):
-    return K.segments(memories(s, d).filter("kind = 'transcript'"), "id", "content").groupBy(F.col("key").alias("id"), "role").agg(F.count(F.lit(1)).alias("n"))
+    return K.segments(spoken(s, d), "id", "content").groupBy(F.col("key").alias("id"), "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 def transcript_distilled(s, d):
-    return K.distilled(memories(s, d).filter("kind = 'transcript'"), "id", "content").withColumnRenamed("key", "id")
+    return K.distilled(spoken(s, d), "id", "content").withColumnRenamed("key", "id")
 
 
 def ingest_session(s, d):
-    """A session's transcript as new rows: the distilled statements and, if wanted, its chunks."""
-    t = memories(s, d).filter("kind = 'transcript'")
-    facts = K.distilled(t, "id", "content").select(F.concat("key", F.lit("#d"), F.col("place")).alias("id"), "kind", "importance", F.length("sentence").alias("n_chars"))
-    raw = C.chunks(t, "id", "content").select(F.concat("id", F.lit("#c"), F.col("n")).alias("id"), F.lit("transcript").alias("kind"), F.lit(2).alias("importance"), F.length("text").alias("n_chars"))
+    """A session's transcript as new rows: the distilled statements and its chunks."""
+    t = spoken(s, d)
+    facts = K.distilled(t, "id", "content").select(F.concat("key", F.lit("#d"), F.col("place")).alias("id"), "kind", "importance", F.col("sentence").alias("text"))
+    raw = C.chunks(t, "id", "content").select(F.concat("id", F.lit("#c"), F.col("n")).alias("id"), F.lit("transcript").alias("kind"), F.lit(2).alias("importance"), "text")
     return facts.unionByName(raw)
 
 
@@ -90,7 +95,19 @@ quote = lambda p: "'" + p.replace("'", "''") + "'"
 CASES = lambda col: "CASE " + " ".join(f"WHEN regexp_matches(low, {quote(p)}) THEN {col(k, i, t)}" for k, i, t, p in K.RULES) + f" ELSE {col(*K.DEFAULT)} END"
 CLS = f"c AS (SELECT id, created_at, lower(content) AS low FROM m), k AS (SELECT id, created_at, {CASES(lambda k, i, t: quote(k))} AS kind, {CASES(lambda k, i, t: str(i))} AS importance, {CASES(lambda k, i, t: 'NULL' if t is None else str(t))} AS ttl_days FROM c)"
 hits = lambda ws: " + ".join(f"CAST(contains(low, ' {w.strip()} ') AS INT)" for w in ws)
+ROLE = r"^\s*(USER|ASSISTANT|SYSTEM|User|Assistant|System)\s?:\s*"
+BODY = r"trim(regexp_replace(raw, '^\s*(?:USER|ASSISTANT|SYSTEM|User|Assistant|System)\s?:\s*|^\s*[-*]\s+', ''))"
+SEG = rf"""sp AS (SELECT id, string_split_regex(content, '\r?\n') AS ls FROM m WHERE regexp_matches(content, '(?m)^\s*(?:USER|ASSISTANT|SYSTEM|User|Assistant|System)\s?:')), ln AS (SELECT id, unnest(ls) AS raw, unnest(range(len(ls))) AS line FROM sp),
+  rl AS (SELECT *, nullif(lower(regexp_extract(raw, '{ROLE}', 1)), '') AS own FROM ln), tr AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY id ORDER BY line ROWS UNBOUNDED PRECEDING) AS role FROM rl),
+  sn AS (SELECT id, role, line, string_split(regexp_replace({BODY}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM tr), seg AS (SELECT id, role, line * 1000 + n AS spot, trim(x) AS sentence FROM (SELECT id, role, line, unnest(ss) AS x, unnest(range(len(ss))) AS n FROM sn) WHERE trim(x) <> '')"""
+MARK = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(low, {quote(p)}) THEN {f(k, i, b)}" for k, i, b, p in K.MARKERS) + " END"
+DIST = rf"""good AS (SELECT *, lower(sentence) AS low, length(regexp_replace(sentence, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS marks FROM seg WHERE length(sentence) BETWEEN 24 AND 260 AND NOT regexp_matches(sentence, 'https?://|```|~~~|^\s*[{{}}<$>]|^\d{{4}}-\d\d-\d\d') AND NOT suffix(sentence, '?')),
+  sc AS (SELECT *, {MARK(lambda k, i, b: quote(k))} AS kind, {MARK(lambda k, i, b: str(i))} AS importance, {MARK(lambda k, i, b: str(b))} + CASE WHEN regexp_matches(low, '\d') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, 'because|car |since|parce') THEN 2 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS score FROM good WHERE marks * 3 <= length(sentence)),
+  one AS (SELECT * FROM sc WHERE kind IS NOT NULL AND score >= {K.LEAST_SCORE} QUALIFY row_number() OVER (PARTITION BY id, trim(regexp_replace(low, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) ORDER BY spot) = 1),
+  cp AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY id, kind ORDER BY score DESC, importance DESC, length(sentence) DESC, spot) <= CASE kind {" ".join(f"WHEN '{k}' THEN {n}" for k, n in K.CAPS.items())} ELSE 1 END)"""
 SQL = {
+    "transcript_segments": f"WITH {M}, {SEG} SELECT id, role, count(*) AS n FROM seg GROUP BY 1, 2",
+    "transcript_distilled": f"WITH {M}, {SEG}, {DIST} SELECT id, kind, importance, score, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, importance DESC, length(sentence) DESC, spot) AS place FROM cp QUALIFY place <= {K.SELECTED}",
     "text_normalised": rf"WITH {M} SELECT id, trim(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS text FROM m",
     "text_preview": f"WITH {M}, x AS (SELECT id, {LINE} AS line FROM m) SELECT id, {PREV.format('line', 120)} AS preview FROM x",
     "text_terse": f"""WITH {M}, x AS (SELECT *, {LINE} AS line FROM m) SELECT id, concat_ws(' | ', '[' || upper(kind) || ':' || importance || '] ' || {PREV.format('line', 200)}, nullif(array_to_string(tags, ','), ''), project) AS line FROM x""",

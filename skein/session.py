@@ -15,15 +15,19 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
-    A cluster names the shared folder in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is taken.
+    A cluster names the shared folder in spark.checkpoint.dir; only where that is unset and the session runs on
+    this machine alone (tests) a temporary folder is taken. Elsewhere it is an error, since executors would
+    write to their own disks.
     """
     sc = spark.sparkContext
     paths = (sc.environment.get("PYTHONPATH") or "").split(os.pathsep)
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return spark
 
 

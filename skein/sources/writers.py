@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines and characters of a cleaned text in a session export.
 LINES, CHARACTERS = 80, 12_000
+#: Lines of tools, not of people.
+NOISE = r"^\s*(?:\{.*\}|<[^>]*>|\$ .*|data:.*;base64,.*|-----(?:BEGIN|END) .*|[A-Za-z0-9+/=]{60,})\s*$"
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -39,8 +41,7 @@ def markdown_lines(df: DataFrame) -> DataFrame:
 
 def cleaned(text: Column) -> Column:
     """A text for people: no tool noise, at most LINES lines and CHARACTERS characters, as the export format defines."""
-    noise = r"^\s*(?:\{.*\}|<[^>]*>|\$ .*|data:.*;base64,.*|-----(?:BEGIN|END) .*|[A-Za-z0-9+/=]{60,})\s*$"
-    kept = F.filter(F.split(text, "\r?\n"), lambda line: ~line.rlike(noise))
+    kept = F.filter(F.split(text, "\r?\n"), lambda line: ~line.rlike(NOISE))
     return F.substring(F.array_join(F.slice(kept, 1, LINES), "\n"), 1, CHARACTERS)
 
 

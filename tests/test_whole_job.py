@@ -43,19 +43,26 @@ def test_merge_takes_all_copies(spark):
     assert got == {"a": (3, 5, ["x", "y", "z"]), "d": (2, 4, ["u", "v"]), "f": (2, 1, [])}
 
 
-def next_partners(entities, project):
-    """Links of shared_entities, one row at a time."""
+def next_partners(entities, project, kinds):
+    """Links of shared_entities, one row at a time: by the entity's relation or else the memories' kinds, from both sides."""
+
+    def named(a, b):
+        return next((n for x, y, n in G.BY_KINDS if x in (None, kinds[a]) and y in (None, kinds[b])), "relates_to")
+
     want = {}
     groups = {}
     for i, kind, value in entities:
         groups.setdefault((kind, value), []).append(i)
     for (kind, _), ids in groups.items():
+        if kind not in G.LINKING:
+            continue
         for a in ids:
             may = sorted(b for b in ids if b != a and (kind == "topic" or None in (project[a], project[b]) or project[a] == project[b]))
             ring = [b for b in may if b > a] + [b for b in may if b < a]
             for b in ring[: G.PARTNERS.get(kind, G.MANY)]:
-                name = G.RELATION.get(kind, "relates_to")
-                want[a, b] = min(want.get((a, b), name), name)
+                for x, y in ((a, b), (b, a)):
+                    name = G.RELATION.get(kind) or named(x, y)
+                    want[x, y] = min(want.get((x, y), name), name)
     return want
 
 
@@ -63,9 +70,10 @@ def test_partners_of_an_entity_do_not_depend_on_its_size(spark):
     rnd = random.Random(7)
     ids = [f"m{i:04d}" for i in range(900)]
     project = {i: rnd.choice([None, "x", "x", "y", "y", "z"]) for i in ids} | {"m0100": "rare", "m0899": "rare"}
-    entities = [(i, "tech", "sql") for i in ids] + [(i, "topic", "storage") for i in ids if rnd.random() < 0.6] + [(i, "agent", f"a{rnd.randrange(60)}") for i in ids] + [(i, "person", f"P{rnd.randrange(400)}") for i in ids] + [(i, "file", "f.py") for i in ids if project[i]]
-    m, e = spark.createDataFrame(list(project.items()), "id string, project string"), spark.createDataFrame(entities, "id string, kind string, value string")
-    want = next_partners(entities, project)
+    kinds = {i: rnd.choice(["bug", "decision", "snippet", "todo", "note"]) for i in ids}
+    entities = [(i, "tech", "sql") for i in ids] + [(i, "component", "sql-cli") for i in ids] + [(i, "topic", "storage") for i in ids if rnd.random() < 0.6] + [(i, "agent", f"a{rnd.randrange(60)}") for i in ids] + [(i, "person", f"P{rnd.randrange(400)}") for i in ids] + [(i, "file", "f.py") for i in ids if project[i]]
+    m, e = spark.createDataFrame([(i, project[i], kinds[i]) for i in ids], "id string, project string, kind string"), spark.createDataFrame(entities, "id string, kind string, value string")
+    want = next_partners(entities, project, kinds)
     for block, merge in ((G.BLOCK, "true"), (16, "false")):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)  # without it ids are in several ranges
         try:
