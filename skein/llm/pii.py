@@ -38,7 +38,7 @@ LOW = "a-zß-öø-ÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřś
 CAP = rf"(?:Mc|Mac|De|Di|Du|Le|La|Van|Fitz)?[{UP}][{LOW}]+(?:[-’'][{UP}]?[{LOW}]+)*|[{UP}][’'][{UP}][{LOW}]+"
 PARTICLE = r"(?:de la|van der|van den|von der|de|del|della|di|da|dos|du|des|van|von|zu|le|la|den|der|ten|ter|bin|ibn|ben|al|el|af|av|st\.?)"
 INITIAL = rf"[{UP}]\."
-NAMES = re.compile(rf"(?<![\w@/.-])(?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d)(?:(?: {INITIAL}|,? {PARTICLE}(?= [{UP}])|,? (?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d))){{1,7}}")
+NAMES = re.compile(rf"(?=[{UP}])(?<![\w@/.-])(?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d)(?:(?: {INITIAL}|,? {PARTICLE}(?= [{UP}])|,? (?:{CAP}|[{UP}]{{2,}}(?:-[{UP}]{{2,}})*)(?![\w@/]|-\d))){{1,7}}")
 NAME_TOKEN = re.compile(rf"{PARTICLE}(?= )|{INITIAL}|[{UP}{LOW}][{UP}{LOW}’'-]*|,")
 
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%'-]+@[A-Za-z0-9](?:[\w-]*\w)?(?:\.[A-Za-z0-9][\w-]*)+", re.A)
@@ -51,7 +51,7 @@ PHONE = re.compile(
 DATE = re.compile(r"(?:19|20)\d\d([-./])(?:0\d|1[0-2])\1[0-3]\d(?!\d)|[0-3]?\d([-./])(?:0?\d|1[0-2])\2(?:19|20)\d\d(?!\d)")
 
 ID = re.compile(
-    r"(?<![\w.+@/-])(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[12378] \d{2} \d{2} (?:\d{2}|2[AB]) \d{3} \d{3}(?: \d{2})?|[12378]\d{4}2[AB]\d{6}(?:\d{2})?|\d{2} \d{3} \d{3} \d{3,4}|[A-Z]{1,2} ?\d{6,8}[A-Z]?\d?"
+    r"(?=[A-Z]{0,6}[ -]?\d)(?<![\w.+@/-])(?:\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2}\d{6}[A-D]|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[12378] \d{2} \d{2} (?:\d{2}|2[AB]) \d{3} \d{3}(?: \d{2})?|[12378]\d{4}2[AB]\d{6}(?:\d{2})?|\d{2} \d{3} \d{3} \d{3,4}|[A-Z]{1,2} ?\d{6,8}[A-Z]?\d?"
     r"|\d{2}[- ]\d{4}[- ]\d{4}[- ][A-Z]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{3}-\d{3}-\d{3}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|[A-Z0-9]{2}\d{2}[A-Z]\d{6}|\d{6}[-+]\d{4}|\d{9,15}|[A-Z]\d{8}|\d{2}[A-Z]{2}\d{5})(?![\w@/]|-\d|\.\d)"
 )
 
@@ -64,8 +64,9 @@ ADDRESS_FR = re.compile(rf"(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter|quater|[a-dA-D]))
 #: What is worth a look at the costlier patterns: what every match of theirs holds.
 DIGITS = re.compile(r"(?<![\w.@/=-])[+(]?\d[\d .\-/()]{5,}\d")
 IDS = re.compile(r"\d")
-WRITTEN = re.compile(_AT)
-GERMAN = re.compile(rf"(?:{_STRASSE}) ?\d|\b(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der|Vor dem) [{UP}][^\n\d]{{2,40}} \d|\b(?i:{_STRASSE}) \d")
+WRITTEN = re.compile(r"[\[({<]\s?(?:at|AT|arobase|chez|ät)\s?[\])}>]| (?:at|AT|arobase) |\s@\s")
+GERMAN_ENDS = {p: re.compile(re.escape(p) + r" ?\d") for p in _STRASSE.replace("\\", "").split("|")}
+GERMAN_PLACE = re.compile(rf"\b(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der|Vor dem) [{UP}][^\n\d]{{2,40}} \d")
 ADDRESS_DE = re.compile(rf"(?<![\w-])(?:(?:[{UP}][\w’'-]*[ -]){{0,3}}[{UP}][\w’'-]*(?:{_STRASSE})|(?:[{UP}][\w’'-]* ){{0,3}}(?i:{_STRASSE})|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|Zum|Zur|Unter den|Hinter der|Vor dem) (?:[{UP}][\w’'-]* ?){{1,2}}) ?\d{{1,4}} ?[a-zA-Z]?\b(?!\.?\d)")
 UNIT = re.compile(_UNIT.replace("{{", "{").replace("}}", "}"))
 
@@ -178,7 +179,9 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in (ADDRESS_EN, ADDRESS_FR, *[ADDRESS_DE] * bool(GERMAN.search(text))):
+    low = text.lower()
+    german = any(p in low and r.search(low) for p, r in GERMAN_ENDS.items()) or GERMAN_PLACE.search(text)
+    for pattern in (ADDRESS_EN, ADDRESS_FR, *[ADDRESS_DE] * bool(german)):
         for m in pattern.finditer(text):
             end = m.end() - (text[m.end() - 1] in ". ")
             if pattern is ADDRESS_EN and text[m.end() - 1] == ".":
