@@ -11,6 +11,8 @@ from skein.session import cut
 
 #: Thresholds of the merge on insert and of the report.
 MERGE, REPORT = 0.85, 0.7
+#: Rows of a shared word that meet in one group.
+HOT = 2_000
 #: Open links that the driver takes over in seed_groups.
 FEW = 100_000
 #: How strongly a kind asks to be condensed; 0.5 for others. Kinds outside COMPRESSIBLE are never condensed by age.
@@ -38,9 +40,8 @@ def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], thr
     seen = classes.select("bucket", F.explode("w").alias("t")).groupBy("bucket", "t").agg(F.count(F.lit(1)).alias("df"))
     spread = classes.select("bucket", "key", F.size("w").alias("n"), F.explode("w").alias("t")).join(seen, ["bucket", "t"])
     ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "t")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("bucket", "t", "key", "n")
-    a, b = prefix.toDF("bucket", "t", "a", "na"), prefix.toDF("bucket", "t", "b", "nb")
-    near = a.join(b, ["bucket", "t"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("bucket", "t", "key", "n", "df")
+    near = meeting(prefix).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     w = classes.select("key", "w")
     both = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
@@ -48,6 +49,21 @@ def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], thr
     return both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
 
 
+def meeting(prefix: DataFrame, block: int | None = None) -> DataFrame:
+    """(a, b, na, nb) of rows that share a word of a bucket, each pair once or twice a word.
+
+    The rows of a word are dealt into blocks by hash, and every two blocks meet in a group of their own, so that
+    a word that many rows share is many tasks.
+    """
+    blocks = F.ceil(F.col("df") / (block or HOT)).cast("int")
+    x = prefix.withColumn("of", blocks).withColumn("own", F.pmod(F.xxhash64("key"), "of").cast("int"))
+    left = x.select("bucket", "t", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("of") - 1)).alias("j"), F.col("key").alias("x"), F.col("n").alias("nx"))
+    right = x.select("bucket", "t", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("key").alias("y"), F.col("n").alias("ny"))
+    met = left.join(right, ["bucket", "t", "i", "j"]).filter("x <> y")
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
 def copies(df: DataFrame, key: str, text: str, bucket: list[str], least_length: int = 1, *, wordless: bool = False) -> DataFrame:
     """(representative, member): every further row of a class of similar_word_sets, beside the class's smallest key.
 

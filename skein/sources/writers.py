@@ -27,14 +27,19 @@ def bullet(text: Column, importance: Column, tags: Column) -> Column:
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:
-    """(kind, line_no, line): a heading a kind with its count, then a bullet a row by importance, age and id.
+    """(kind, line_no, line): a heading a kind with its count, then a bullet a row by importance, age and id, numbered within days.
 
     It stays a table: written sorted by kind and line it is the document, however large, and no row is gathered.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("kind").orderBy(F.desc("importance"), "created_at", "id")
-    rows = df.withColumn("line_no", F.row_number().over(w)).select("kind", "line_no", bullet(F.col("content"), F.col("importance"), F.col("tags")).alias("line"))
+    from skein.operators.lifecycle import in_order
+
+    counts = df.groupBy("kind", "importance").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy(F.desc("importance")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("kind").alias("k"), F.col("importance").alias("i"), before.alias("before"))
+    placed = in_order(df, ["kind", "importance"], "created_at", "id").join(offsets, F.col("kind").eqNullSafe(F.col("k")) & (F.col("importance") == F.col("i")))
+    rows = placed.select("kind", (F.col("before") + F.col("place") + 1).cast("int").alias("line_no"), bullet(F.col("content"), F.col("importance"), F.col("tags")).alias("line"))
     heads = df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", F.lit(0).alias("line_no"), F.concat(F.lit("## "), F.col("kind"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
     return heads.unionByName(rows)
 

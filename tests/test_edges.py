@@ -133,3 +133,11 @@ def test_merge_in_the_order_of_insertion(spark):
     got = {r["id"]: r["group"] for r in Y.inserted(rows, "id", "content", ["project", "kind"], "t", 0.8).collect()}
     # 2 is like 1 and merged into it; 3 is like 2, which is no row of its own any more, and not like 1; 4 equals 1
     assert got == {"1": "1", "2": "1", "3": "3", "4": "1"}
+
+
+def test_rows_of_a_common_word_meet_in_blocks(spark):
+    rows = [("p", "w", f"k{i:02d}", 3, 30) for i in range(30)] + [("q", "w", "z", 3, 1)]
+    prefix = spark.createDataFrame(rows, "bucket string, t string, key string, n int, df long")
+    for block in (1_000, 4):
+        got = {(r["a"], r["b"]) for r in Y.meeting(prefix, block).collect()}
+        assert got == {(f"k{i:02d}", f"k{j:02d}") for i in range(30) for j in range(i + 1, 30)}
