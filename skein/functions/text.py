@@ -53,11 +53,17 @@ def kebab(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^\\p{L}\\p{N}]+", "-"), "^-|-$", "")
 
 
+#: Where a name changes from small to capital, from capitals to a word, and between letters and digits.
+CASES = ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])")
+
+
 def name_words(path: Column) -> Column:
     """Words of a file's name: parted at marks and where case or digits change, at least three characters, lower case."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.[^.]*$", "")
-    parts = F.regexp_extract_all(stem, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(p) >= 3), lambda p: F.lower(p)))
+    parted = stem
+    for pattern in CASES:
+        parted = F.regexp_replace(parted, pattern, "$1 $2")
+    return F.array_distinct(F.transform(F.filter(F.split(parted, "[^A-Za-z0-9]+"), lambda p: F.length(p) >= 3), lambda p: F.lower(p)))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

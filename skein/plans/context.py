@@ -13,6 +13,7 @@ from skein.operators.relational import critical, expired, pinned, scope_score, v
 
 #: Characters of a recall, and rows of its sections in their order.
 BUDGET = 3_200
+BRAIN = {"architecture": ["architecture"], "decisions": ["decision"], "preferences": ["preference"], "bugs": ["bug"], "todos": ["todo"], "recent": ["fact", "milestone", "note"], "patterns": ["pattern", "snippet"]}
 SECTIONS = {"critical": 12, "pinned": 20, "hint": 10, "scope": 15, "project": 50, "preference": 12, "pattern": 10, "decision": 10}
 
 
@@ -79,8 +80,7 @@ def brain(df: DataFrame, as_of: str, project: str, *, tokens: int = 1_000) -> Da
     """
     rows = visible(df).filter(~expired(as_of) & (F.col("project") == project))
     newest = [F.desc("importance"), F.desc_nulls_last("updated_at")]
-    kinds = {"architecture": ["architecture"], "decisions": ["decision"], "preferences": ["preference"], "bugs": ["bug"], "todos": ["todo"], "recent": ["fact", "milestone", "note"], "patterns": ["pattern", "snippet"]}
-    parts = [ranked(rows.filter(F.col("kind").isin(*ks)), name, n, newest, 15) for n, (name, ks) in enumerate(kinds.items())]
+    parts = [ranked(rows.filter(F.col("kind").isin(*ks)), name, n, newest, 15) for n, (name, ks) in enumerate(BRAIN.items())]
     every = reduce(lambda a, b: a.unionByName(b), parts).select(F.lit(project).alias("project"), "section", "section_no", "rank", "id", F.length(preview(F.col("content"), 200)).alias("size"))
     # one ordered fold: a section that stopped is shut, the space used goes on to the next one
     lists = every.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("section_no", "rank", "section", "id", "size"))).alias("x"))

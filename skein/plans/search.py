@@ -81,6 +81,8 @@ class Options:
     #: Score of a neighbour found over links: below any hit of its own, unless set otherwise.
     graph_share: float = 0.5
     min_score: float = 0.0
+    #: Score by vector only what the signatures of vectors (a column "s" beside them) bring near; None: all.
+    approximate: int | None = None
     weights: dict = field(default_factory=lambda: dict(L.WEIGHTS))
 
 
@@ -130,9 +132,20 @@ def lexical_lane(queries: DataFrame, rows: DataFrame, weights: dict[str, float]
     return kept.groupBy("query", F.col("key").alias("id")).agg(F.min("rank").alias("bm25_rank"))
 
 
-def vector_lane(queries: DataFrame, vectors: DataFrame, top: int = VECTORS) -> DataFrame:
-    """(query, id, vec_rank) of queries with a vector v; rows without a vector score 0 but are candidates."""
-    return V.top_k(queries.select("query", "v"), vectors.select(F.col("id").alias("key"), "v"), top).select("query", F.col("key").alias("id"), F.col("rank").alias("vec_rank"))
+def vector_lane(queries: DataFrame, vectors: DataFrame, top: int = VECTORS, *, approximate: int | None = None) -> DataFrame:
+    """(query, id, vec_rank) of queries with a vector v; rows without a vector score 0 but are candidates.
+
+    approximate: only the so many nearest by signature are scored; queries and vectors then have a column "s".
+    """
+    corpus = vectors.select(F.col("id").alias("key"), *[c for c in ("v", "s") if c in vectors.columns])
+    if approximate is not None:
+        near = V.approximate(queries.select("query", "s"), corpus.select("key", "s"), approximate)
+        pairs = near.join(corpus, "key").join(queries.select("query", F.col("v").alias("qv")), "query").select("query", "key", V.dot(F.col("v"), F.col("qv")).alias("score"))
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+        scored = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    else:
+        scored = V.top_k(queries.select("query", "v"), corpus.select("key", "v"), top)
+    return scored.select("query", F.col("key").alias("id"), F.col("rank").alias("vec_rank"))
 
 
 def rrf(*ranks: Column) -> Column:
@@ -223,7 +236,7 @@ def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors:
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     vec = vectors.join(rows.select("id"), "id", "left_semi")
-    lex, near = lexical_lane(queries, rows, options.weights, index), vector_lane(queries, vec)
+    lex, near = lexical_lane(queries, rows, options.weights, index), vector_lane(queries, vec, approximate=options.approximate)
     both = cut(lex.join(near, ["query", "id"], "full"))  # at most a few hundred rows a query
     asked = queries.select("query", F.coalesce("text", F.lit("")).alias("asked"), terms(F.col("text")).alias("words"))
     x = both.join(rows, "id").join(F.broadcast(asked), "query")  # the query table is small

@@ -14,7 +14,9 @@ from skein.operators import vectors as V
 from skein.plans import search as P
 from skein.queries.graph import ALL_ENT, ENT
 from skein.queries.relational import AGE
-from skein.session import stored
+from skein.session import cut, stored
+from skein.sources import golden
+from skein.tables import L as L_
 from skein.tables import AS_OF, M, T, links, memories, table, triples
 
 ASKED = {"q1": "cache holds entries", "q2": "root cause of the lease", "q3": "when was the exporter moved", "q4": "what do we prefer for the window", "q5": "nimbus-relay memory budget"}
@@ -136,6 +138,18 @@ def intent_factors(s, d):
     return m.select("id", *(F.round(P.intent_factor(F.lit(t)), 6).alias(k) for k, t in RERANKED.items()))
 
 
+def golden_quality(s, d):
+    """(query, place, leaks): of every question of the golden corpus the place of its answer, 0 if it is not among the first five, and how many credentials it was shown."""
+    m = cut(golden.corpus(s))
+    q = golden.questions(s).withColumn("v", V.hashed_embedding(F.col("text")))
+    none = {"links": s.createDataFrame([], "source_id string, target_id string, relation string"), "triples": triples(s, d).limit(0), "entities": cut(G.entities(m)), "vectors": cut(m.select("id", V.hashed_embedding(F.col("content")).alias("v")))}
+    found = [P.search(q.filter(F.col("mode") == mode).drop("project"), m, P.Options(AS_OF, limit=5, mode=mode), **none) for mode in ("default", "full")]
+    hits = found[0].unionByName(found[1]).join(m.select("id", "content", "kind"), "id").join(q.select("query", "answers", "mode"), "query")
+    right = F.exists("answers", lambda a: F.col("content").contains(a))
+    per = hits.groupBy("query").agg(F.min(F.when(right, F.col("place"))).alias("place"), F.count_if((F.col("kind") == "credential") & (F.col("mode") != "full")).alias("leaks"))
+    return q.select("query").join(per, "query", "left").select("query", F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("leaks", F.lit(0)).alias("leaks"))
+
+
 def search_accesses(s, d):
     """What a search adds to the access log."""
     m, more = parts(s, d)
@@ -160,7 +174,7 @@ def file_context(s, d):
     return P.search(q, m, P.Options(AS_OF, limit=5, keywords=("field", "state", "frame")), **more)
 
 
-QUERIES = {f.__name__: f for f in (store_build, intent_factors, search_accesses, hybrid_search, hybrid_search_filtered, search_trace, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
+QUERIES = {f.__name__: f for f in (store_build, golden_quality, intent_factors, search_accesses, hybrid_search, hybrid_search_filtered, search_trace, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
 
 holds = lambda ws: "(" + " OR ".join(f"contains(low, {sql_text(w)})" for w in ws) + ")"
 sql_text = lambda w: "'" + w.replace("'", "''") + "'"
@@ -197,7 +211,10 @@ def local(text: str) -> str:
 VALUES = ", ".join(f"('{k}', '{t}', {v})" for k, (t, v) in FUSED.items())
 FOLD = "translate(lower(coalesce(text, '')), 'àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž', 'aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorrssstuuuuuuuuyyzzz')"
 A = AGE.format("updated_at")
+TERMS_OF = lambda c: rf"list_filter(string_split_regex({FOLD.replace('text', c)}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 SQL = {
+    "store_build": f"""WITH {M}, {T}, {L_}, {ENT}, {ALL_ENT}, w AS ({' UNION ALL '.join(f"SELECT {TERMS_OF(c)} AS ts FROM (SELECT content, array_to_string(tags, ' ') AS tagged, kind, project FROM m)" for c in ('content', 'tagged', 'kind', 'project'))}), n AS (SELECT count(*) AS n FROM m)
+        SELECT unnest(['memories', 'sizes', 'vectors']) AS part, n FROM n UNION ALL SELECT 'places', sum(len(ts)) FROM w UNION ALL SELECT 'words', count(DISTINCT x) FROM (SELECT unnest(ts) AS x FROM w) UNION ALL SELECT 'links', count(*) FROM l UNION ALL SELECT 'triples', count(*) FROM t UNION ALL SELECT 'entities', count(*) FROM every""",
     "hybrid_rrf_top10": rf"""WITH q AS (SELECT * FROM (VALUES {VALUES}) v(query, text, vec_id)), w AS (SELECT doc_id AS id, list_filter(string_split_regex({FOLD}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ts FROM documents),
         pos AS (SELECT id, unnest(ts) AS term FROM w), qt AS (SELECT query, unnest(string_split(text, ' ')) AS term, unnest(range(3)) AS n FROM q), per AS (SELECT query, n, id, count(*) AS freq FROM pos JOIN qt USING (term) GROUP BY ALL),
         dfs AS (SELECT query, n, count(*) AS df FROM per GROUP BY 1, 2), lens AS (SELECT id, len(ts) AS len FROM w), st AS (SELECT count(*) AS nrows, avg(len) AS mean FROM lens),

@@ -11,6 +11,10 @@ from skein.streaming import streams as S
 from skein.tables import M, memories, table
 
 
+#: Accesses come hours late, not days.
+LATE = "2 days"
+
+
 def folder(s) -> str:
     prepare(s)
     return f"{s.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -22,8 +26,8 @@ def access_fold(s, d):
 
 
 def access_fold_stream(s, d):
-    """The same as a stream with a watermark that holds the latest accesses of the table."""
-    stream = S.access_fold(S.replay(s, f"{d}/access_stream.parquet"), late="3650 days")
+    """The same as a stream: a window's state is dropped two days behind the latest access, and what comes later still is not counted."""
+    stream = S.access_fold(S.replay(s, f"{d}/access_stream.parquet"), late=LATE)
     return S.access_counts(S.drain(stream, folder(s))).select("memory_id", "added")
 
 

@@ -105,7 +105,12 @@ DIST = rf"""good AS (SELECT *, lower(sentence) AS low, length(regexp_replace(sen
   sc AS (SELECT *, {MARK(lambda k, i, b: quote(k))} AS kind, {MARK(lambda k, i, b: str(i))} AS importance, {MARK(lambda k, i, b: str(b))} + CASE WHEN regexp_matches(low, '\d') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(low, 'because|car |since|parce') THEN 2 ELSE 0 END + CASE WHEN role = 'user' THEN 1 ELSE 0 END AS score FROM good WHERE marks * 3 <= length(sentence)),
   one AS (SELECT * FROM sc WHERE kind IS NOT NULL AND score >= {K.LEAST_SCORE} QUALIFY row_number() OVER (PARTITION BY id, trim(regexp_replace(low, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) ORDER BY spot) = 1),
   cp AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY id, kind ORDER BY score DESC, importance DESC, length(sentence) DESC, spot) <= CASE kind {" ".join(f"WHEN '{k}' THEN {n}" for k, n in K.CAPS.items())} ELSE 1 END)"""
+PARTED = r"regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '')"
+for case in X.CASES:
+    PARTED = rf"regexp_replace({PARTED}, '{case}', '\1 \2', 'g')"
 SQL = {
+    "filename_words": rf"""WITH {M}, p AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[\w.\-]+(?:/[\w.\-]+)+\.[A-Za-z]{{1,7}}')) AS path FROM m), w AS (SELECT path, list_transform(list_filter(string_split_regex({PARTED}, '[^A-Za-z0-9]+'), lambda x: length(x) >= 3), lambda x: lower(x)) AS ws FROM p)
+        SELECT path, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS words FROM w""",
     "transcript_segments": f"WITH {M}, {SEG} SELECT id, role, count(*) AS n FROM seg GROUP BY 1, 2",
     "transcript_distilled": f"WITH {M}, {SEG}, {DIST} SELECT id, kind, importance, score, sentence, row_number() OVER (PARTITION BY id ORDER BY score DESC, importance DESC, length(sentence) DESC, spot) AS place FROM cp QUALIFY place <= {K.SELECTED}",
     "text_normalised": rf"WITH {M} SELECT id, trim(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS text FROM m",

@@ -141,3 +141,27 @@ def test_rows_of_a_common_word_meet_in_blocks(spark):
     for block in (1_000, 4):
         got = {(r["a"], r["b"]) for r in Y.meeting(prefix, block).collect()}
         assert got == {(f"k{i:02d}", f"k{j:02d}") for i in range(30) for j in range(i + 1, 30)}
+
+
+def test_signatures_bring_near_what_is_near(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    rows = [(i, (centres[i % 40] + 0.2 * rng.standard_normal(16)).tolist()) for i in range(800)] + [(900, None), (901, [0.0] * 16)]
+    e = spark.createDataFrame(rows, "key long, v array<double>")
+    signed = e.withColumn("s", V.signature(F.col("v"), 16))
+    assert {r["key"] for r in signed.filter("s is null").collect()} == {900, 901}
+    q = signed.filter("key < 20")
+    near = {(r["query"], r["key"]) for r in V.approximate(q.select(F.col("key").alias("query"), "s"), signed.select("key", "s"), 100).collect()}
+    exact = [(r["query"], r["key"]) for r in V.top_k(q.select(F.col("key").alias("query"), "v"), e, 10).collect()]
+    assert sum(p in near for p in exact) >= 0.9 * len(exact)
+    lane = P.vector_lane(q.select(F.col("key").alias("query"), "v", "s"), signed.select(F.col("key").alias("id"), "v", "s"), 10, approximate=100)
+    assert sum((r["query"], r["id"]) in set(exact) for r in lane.collect()) >= 0.9 * len(exact)
+
+
+def test_golden_questions(spark, tmp_path):
+    from skein.queries import search as Q
+
+    none = spark.createDataFrame([], "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double, source_memory_id string, created_at timestamp")
+    none.write.parquet(str(tmp_path / "knowledge_triples.parquet"))
+    got = Q.golden_quality(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and sum(r["place"] > 0 for r in got) >= 11 and not any(r["leaks"] for r in got)
