@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.stem import stems
 from skein.functions.text import terms
+from skein.session import stored
 
 #: Weight of a hit by field; a field that is not named weighs 1.
 WEIGHTS = {"content": 8.0, "tags": 5.0, "kind": 2.0, "project": 4.0}
@@ -151,6 +152,21 @@ def bm25(hits: DataFrame, sizes: DataFrame, weights: dict[str, float] = WEIGHTS)
     return x.groupBy("query", "key").agg(F.sum(bm25_term()).alias("score"))
 
 
+def bm25_by_term(places: DataFrame, asked: DataFrame, sizes: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """What bm25() gives for whole terms, for many queries: a term is scored once for each row, whoever asks for it, and then summed by query.
+
+    places: (key, field, term, pos); asked: (query, n, term).
+    """
+    terms_asked = small(asked.select("term").distinct())
+    per = places.join(terms_asked, "term").groupBy("term", "key").agg(F.sum(weight_of(weights)).alias("freq"))
+    per = stored(per)
+    known = per.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("mean"))
+    one = per.join(small(known), "term").join(sizes, "key").crossJoin(F.broadcast(stats)).select("term", "key", bm25_term().alias("s"))  # one row
+    times = asked.groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+    return one.join(small(times), "term").groupBy("query", "key").agg(F.sum(F.col("s") * F.col("times")).alias("score"))
+
+
 def bm25_term() -> Column:
     """What one term gives, from the columns freq, df, len, rows and mean."""
     idf = F.greatest(F.ln((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

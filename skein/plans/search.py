@@ -7,6 +7,7 @@ at most `WIDE` rows a query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -236,14 +237,17 @@ def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors:
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     vec = vectors.join(rows.select("id"), "id", "left_semi")
-    lex, near = lexical_lane(queries, rows, options.weights, index), vector_lane(queries, vec, approximate=options.approximate)
-    both = cut(lex.join(near, ["query", "id"], "full"))  # at most a few hundred rows a query
+    with ThreadPoolExecutor(1) as pool:  # what facts add is found while the lanes run
+        named = pool.submit(lambda: cut(expansion(queries, triples, entities)))
+        lex, near = lexical_lane(queries, rows, options.weights, index), vector_lane(queries, vec, approximate=options.approximate)
+        both = cut(lex.join(near, ["query", "id"], "full"))  # at most a few hundred rows a query
+        extra = named.result()
     asked = queries.select("query", F.coalesce("text", F.lit("")).alias("asked"), terms(F.col("text")).alias("words"))
     x = both.join(rows, "id").join(F.broadcast(asked), "query")  # the query table is small
-    x = x.join(F.broadcast(cut(expansion(queries, triples, entities))), "query", "left")
+    x = x.join(F.broadcast(extra), "query", "left")
     x = x.join(G.link_boosts(links), "id", "left").join(K.support(triples, options.as_of[:10]).withColumnRenamed("memory_id", "id"), "id", "left")
     low = F.lower("content")
-    extra = F.size(F.filter(F.coalesce("extra", F.array().cast("array<string>")), lambda e: low.contains(F.lower(e))))
+    held = F.size(F.filter(F.coalesce("extra", F.array().cast("array<string>")), lambda e: low.contains(F.lower(e))))
     watched = sum((low.contains(k.lower()).cast("int") for k in options.keywords), F.lit(0))
     factors = {
         "f_coverage": coverage_factor(coverage(F.col("content"), F.col("words"))),
@@ -251,7 +255,7 @@ def fused(queries: DataFrame, memories: DataFrame, options: Options, *, vectors:
         "f_activation": activation(options.as_of),
         "f_importance": importance_factor(),
         "f_recency": recency(options.as_of),
-        "f_expansion": 1 + F.least(0.04 * extra, F.lit(0.15)),
+        "f_expansion": 1 + F.least(0.04 * held, F.lit(0.15)),
         "f_links": 1 + F.coalesce("boost", F.lit(0.0)),
         "f_watched": 1 + 0.2 * watched,
         "f_tags": F.when(has_tag(*options.tags), 1.5).otherwise(0.1) if options.tags else F.lit(1.0),

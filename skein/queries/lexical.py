@@ -58,8 +58,7 @@ def bm25_scores(s, d):
 def bm25_top10(s, d):
     q = asked(s)
     m = memories(s, d)
-    hits = L.match_terms(L.positions(m, "id", {"content": F.col("content")}), q, prefix=False)
-    scored = L.bm25(hits, L.lengths(m, "id", {"content": F.col("content")}), {}).withColumn("score", F.round("score", 6))
+    scored = L.bm25_by_term(L.positions(m, "id", {"content": F.col("content")}), q, L.lengths(m, "id", {"content": F.col("content")}), {}).withColumn("score", F.round("score", 6))
     return L.rank(scored, 10).withColumnRenamed("key", "id")
 
 

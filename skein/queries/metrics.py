@@ -8,6 +8,7 @@ from skein.functions.text import terms
 from skein.operators import lexical as L
 from skein.operators import metrics as E
 from skein.queries.graph import FOLD
+from skein.queries.search import parts
 from skein.session import cut
 from skein.tables import M, memories, table
 
@@ -22,9 +23,9 @@ def self_queries(s, d):
 def self_results(s, d):
     q = self_queries(s, d)
     words = cut(q.select("query", F.posexplode(F.split("text", " ")).alias("n", "term")))
-    m = memories(s, d)
-    f = {"content": F.col("content")}
-    scored = L.bm25(L.match_terms(L.positions(m, "id", f), words, prefix=False), L.lengths(m, "id", f), {}).withColumn("score", F.round("score", 6))
+    m, more = parts(s, d)
+    places = more["index"].places.filter("field = 'content'")  # the stored index, met by the terms before anything is counted
+    scored = L.bm25_by_term(places, words, L.lengths(m, "id", {"content": F.col("content")}), {}).withColumn("score", F.round("score", 6))
     return L.rank(scored, 10).select("query", F.col("key").alias("id"), "rank")
 
 

@@ -80,7 +80,7 @@ def hybrid_rrf_top10(s, d):
     q = s.createDataFrame([(k, t, v) for k, (t, v) in FUSED.items()], "query string, text string, vec_id long")
     words = q.select("query", F.posexplode(terms(F.col("text"))).alias("n", "term"))
     field = {"text": F.col("text")}
-    scored = L.bm25(L.match_terms(L.positions(docs, "id", field), words, prefix=False), L.lengths(docs, "id", field), {}).withColumn("score", F.round("score", 6))
+    scored = L.bm25_by_term(L.positions(docs, "id", field), words, L.lengths(docs, "id", field), {}).withColumn("score", F.round("score", 6))
     lex = L.rank(scored, 150).select("query", F.col("key").alias("id"), F.col("rank").alias("bm25_rank"))
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     near = V.top_k(q.join(e, "vec_id").select("query", "v"), e.select(F.col("vec_id").alias("key"), "v"), 100).select("query", F.col("key").alias("id"), F.col("rank").alias("vec_rank"))
