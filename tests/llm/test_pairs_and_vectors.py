@@ -97,3 +97,20 @@ def test_copies_take_the_smallest_keys(spark):
 
 def test_empty_vectors(spark):
     assert V.nearest(spark.createDataFrame([], "h string, v array<float>"), "h", "v").count() == 0
+
+
+def test_one_group_of_two_hundred_thousand(spark):
+    """A hot group is routed to shards; planted pairs are all that is found."""
+    rng = np.random.default_rng(1)
+    n = 200_000
+    words = (30_000 * rng.random((n, 60)) ** 3).astype(int)
+    planted = np.arange(0, n, 100)
+    words[planted + 1] = words[planted]
+    words[planted + 1, :2] = 40_000 + rng.integers(0, 10**6, (len(planted), 2))
+    df = spark.createDataFrame([(f"k{i:06d}", " ".join(f"w{x}" for x in row)) for i, row in enumerate(words.tolist())], "id string, content string")
+    top = N.top_levels(N.keyed(df, "id", "content"))
+    assert max(top.depth.values()) >= 3
+    sets = [set(words[i].tolist()) for i in range(n)]
+    want = {(f"k{i:06d}", f"k{i + 1:06d}") for i in planted if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {tuple(r) for r in N.similar_pairs(df, "id", "content").collect()}
+    assert len(want) > 1_500 and got == want
