@@ -181,19 +181,63 @@ def adjacency(links: DataFrame, entities: DataFrame, chosen: DataFrame) -> DataF
 TECH = "python rust typescript javascript java kotlin swift go golang sql postgres postgresql mysql sqlite redis kafka spark docker kubernetes terraform react svelte django fastapi graphql grpc parquet onnx".split()
 TOPIC = {"search": "search retrieval recall query", "storage": "cache store index database lease", "deployment": "deploy deployed release shipped rollout rollback", "testing": "test tests benchmark regression", "performance": "latency slow p95 throughput load", "incident": "outage deadlock deadlocks crash failure panne", "security": "password token secret credential vault", "migration": "migration schema upgrade backfill"}
 AGENT = "claude copilot cursor gemini codex chatgpt windsurf aider".split()
-HINTS = "service module component worker helper handler controller adapter client proxy store cache index batch api ui cli sync".split()
 FILE = r"[\w.\-]+(?:/[\w.\-]+)+\.[A-Za-z]{1,7}|\b[\w\-]+\.(?:py|rs|ts|js|go|md)\b"
-COMPONENT = r"\b[a-z][a-z0-9]+-(?:" + "|".join(HINTS) + r")\b"
-PERSON = r"(?:@[A-Za-z][\w\-]{1,30}\b)|(?:(?:Spoke with|Met|Thanks|Hi|Hello|Dear|Bonjour|Merci) (?:(?:Mr|Mrs|Ms|Dr|Prof)\. )?)([A-Z][a-zà-ÿ]{1,19}(?: [A-Z][a-zà-ÿ]{1,19})?)"
+# What a component stands near to, and what makes a capital word a person.
+HINTS = "component page layout modal button form input header footer sidebar nav card table dialog dashboard settings profile auth login signup".split()
+NEARBY = 50
+PERSON_VERBS = "said asked decided recommended pushed wrote built created designed fixed reported suggested mentioned reviewed approved deployed assigned committed merged".split()
+PERSON_ROLES = "lead manager developer dev designer architect engineer cto ceo founder cofounder intern qa frontend backend fullstack devops pm product".split()
+GREETINGS = "hey hi thanks merci salut cc bonjour".split()
+NOT_PERSONS = "the this that then they there their these not you your has have had was were are will can could would should may might all any some for from with into over true false null none self todo note error warning info".split()
+#: Words that name a platform, the first that a text holds.
+PLATFORMS = {"claude": "claude code", "cursor": "cursor", "chatgpt": "chatgpt", "codex": "codex", "gemini": "gemini"}
+# The marks at the ends of a word, which are no part of a person's or a component's name; what a component looks like.
+PERSON_ENDS, COMPONENT_ENDS, COMPONENT = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", r"^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$", r"^\p{Lu}|[-_]"
+
+
+def told_words(df: DataFrame) -> DataFrame:
+    """df (id, content, low ...) with persons and components, arrays of names.
+
+    Persons: capital words of 2 to 20 characters that are mentioned (@), greeted, followed by a person's verb, or
+    within three words of a role; each once, as first written. Components: words with a capital, a dash or an
+    underscore whose first place in the text is within NEARBY characters of a hint's first place.
+
+    What a condition on each word reads is made column by column before, and read there twice: the optimizer
+    would else put its making into the condition, once a word.
+    """
+    said = df.withColumn("said", F.split(F.trim("content"), "\\s+"))
+    x = said.withColumns({
+        "cores": F.transform("said", lambda w: F.regexp_replace(w, PERSON_ENDS, "")),
+        "roles": F.transform("said", lambda w: F.lower(w).rlike("|".join(PERSON_ROLES))),
+        "named": F.array_distinct(F.transform("said", lambda w: F.regexp_replace(w, COMPONENT_ENDS, ""))),
+        "places": F.filter(F.array(*(F.instr("low", h) for h in HINTS)), lambda p: p > 0),
+    })
+
+    def person(i: Column) -> Column:
+        core, word = F.get("cores", i), F.get("said", i)
+        low = F.lower(core)
+        known = low.isin(*NOT_PERSONS, *TECH, *HINTS) | low.rlike("|".join(AGENT))
+        greeted = F.lower(F.get("said", i - 1)).isin(*GREETINGS)
+        acts = F.lower(F.get("said", i + 1)).rlike("^(?:" + "|".join(PERSON_VERBS) + ")")
+        role = (i < F.size("roles")) & F.exists(F.slice("roles", F.greatest(i - 3, F.lit(0)) + 1, F.lit(7)), lambda r: r)
+        return core.rlike(r"^\p{Lu}") & F.length(core).between(2, 20) & ~known & (word.startswith("@") | F.coalesce((i > 0) & greeted, F.lit(False)) | F.coalesce(acts, F.lit(False)) | role)
+
+    where = F.filter(F.sequence(F.lit(0), F.size("said") - 1), person)
+    near = F.filter("named", lambda c: c.rlike(COMPONENT) & (F.length(c) > 2) & F.exists("places", lambda p: F.abs(p - F.position(F.lower(c), F.col("low"))) <= NEARBY))
+    y = x.withColumns({"where": where, "components": F.when(F.size("places") > 0, near).otherwise(F.array().cast("array<string>"))})
+    z = y.withColumn("people", F.transform("where", lambda i: F.get("cores", i))).withColumn("lowered", F.transform("people", lambda n: F.lower(n)))
+    once = F.filter("people", lambda n, i: (i < F.size("lowered")) & (F.array_position(F.col("lowered"), F.lower(n)) == i + 1))
+    return z.withColumn("persons", once).select(*df.columns, "persons", "components")
 
 
 def entities(df: DataFrame) -> DataFrame:
-    """(id, kind, value) of every memory, distinct: project, origin, topics, technologies, agents, files, components, persons.
+    """(id, kind, value) of every memory, distinct: project, origin, platform, topics, technologies, agents, files, components, persons.
 
-    Values are lower case but for files and persons; texts are searched whole, by built-in functions only.
+    Values are lower case but for files, components and persons; texts are searched whole, by built-in functions only.
     """
     words = F.array_distinct(F.filter(F.split(folded(F.col("content")), "[^a-z0-9]+"), lambda w: w != ""))
-    row = df.select("id", "project", "source", "content", words.alias("w"))
+    row = df.select("id", "project", "source", "content", words.alias("w"), F.lower("content").alias("low"))
+    row = told_words(row)
     listed = lambda kind, values: F.transform(F.array_intersect(F.col("w"), F.array(*(F.lit(v) for v in values))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     topics = F.filter(F.array(*(F.when(F.arrays_overlap("w", F.array(*(F.lit(x) for x in ws.split()))), F.struct(F.lit("topic").alias("kind"), F.lit(t).alias("value"))) for t, ws in TOPIC.items())), lambda x: x.isNotNull())
     found = lambda kind, values: F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -201,9 +245,10 @@ def entities(df: DataFrame) -> DataFrame:
     transcript = F.col("content").rlike(r"(?m)^(?:USER|ASSISTANT):")
     origin = F.when(transcript, F.lit("ai_transcript")).when(F.col("content").rlike(r"(?m)^(?:```|~~~)"), F.lit("codebase")).otherwise(F.lit("notes"))
     files = F.regexp_extract_all("content", F.lit(FILE), F.lit(0))
-    components = F.regexp_extract_all(F.lower("content"), F.lit(COMPONENT), F.lit(0))
-    persons = F.filter(F.regexp_extract_all("content", F.lit(PERSON), F.lit(1)), lambda p: p != "")
-    everything = F.concat(single("project", F.col("project")), single("origin", origin), topics, listed("tech", TECH), listed("agent", AGENT), found("file", files), found("component", components), found("person", persons))
+    platform = F.lit(None).cast("string")
+    for name, mark in reversed(PLATFORMS.items()):
+        platform = F.when(F.col("low").contains(mark), name).otherwise(platform)
+    everything = F.concat(single("project", F.col("project")), single("origin", origin), single("platform", platform), topics, listed("tech", TECH), listed("agent", AGENT), found("file", files), found("component", F.col("components")), found("person", F.col("persons")))
     return row.select("id", F.explode(everything).alias("e")).select("id", "e.kind", "e.value").distinct()
 
 

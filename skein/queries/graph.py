@@ -130,9 +130,15 @@ TOPICS = " UNION ALL ".join(f"SELECT id, 'topic' AS kind, '{t}' AS value FROM ws
 FOLD = "translate(lower(content), 'àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśšşťùúûüūůűųýÿźżž', 'aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorrssstuuuuuuuuyyzzz')"
 quoted = lambda p: "'" + p.replace("'", "''") + "'"
 ENT = f"""ws AS (SELECT id, project, string_split_regex({FOLD}, '[^a-z0-9]+') AS w, content FROM m), topics AS ({TOPICS}),
-  files AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, {quoted(G.FILE)})) AS value FROM m), parts AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), {quoted(G.COMPONENT)})) AS value FROM m),
-  persons AS (SELECT DISTINCT id, unnest(list_filter(regexp_extract_all(content, {quoted(G.PERSON)}, 1), lambda x: x <> '')) AS value FROM m),
-  named AS (SELECT id, 'tech' AS kind, unnest(list_intersect(w, {G.TECH!r})) AS value FROM ws UNION ALL SELECT id, 'agent', unnest(list_intersect(w, {G.AGENT!r})) FROM ws UNION ALL SELECT id, 'file', value FROM files UNION ALL SELECT id, 'component', value FROM parts UNION ALL SELECT id, 'person', value FROM persons),
+  files AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, {quoted(G.FILE)})) AS value FROM m),
+  said AS (SELECT id, lower(content) AS low, string_split_regex(trim(content), '\\s+') AS xs FROM m), cores AS (SELECT id, low, xs, list_transform(xs, lambda w: regexp_replace(w, {quoted(G.PERSON_ENDS)}, '', 'g')) AS cs, list_transform(xs, lambda w: regexp_matches(lower(w), '{"|".join(G.PERSON_ROLES)}')) AS fl,
+    list_distinct(list_transform(xs, lambda w: regexp_replace(w, {quoted(G.COMPONENT_ENDS)}, '', 'g'))) AS ks, list_filter([{", ".join(f"instr(low, '{h}')" for h in G.HINTS)}], lambda p: p > 0) AS ps FROM said),
+  parts AS (SELECT id, unnest(list_filter(ks, lambda c: length(c) > 2 AND regexp_matches(c, {quoted(G.COMPONENT)}) AND len(list_filter(ps, lambda p: abs(p - instr(low, lower(c))) <= {G.NEARBY})) > 0)) AS value FROM cores),
+  people AS (SELECT id, list_transform(list_filter(range(1, len(xs) + 1), lambda i: length(cs[i]) BETWEEN 2 AND 20 AND regexp_matches(cs[i], '^\\p{{Lu}}') AND NOT list_contains({G.NOT_PERSONS + G.TECH + G.HINTS!r}, lower(cs[i])) AND NOT regexp_matches(lower(cs[i]), '{"|".join(G.AGENT)}')
+    AND (starts_with(xs[i], '@') OR (i > 1 AND list_contains({G.GREETINGS!r}, lower(xs[i - 1]))) OR coalesce(regexp_matches(lower(xs[i + 1]), '^(?:{"|".join(G.PERSON_VERBS)})'), false) OR list_contains(fl[greatest(i - 3, 1):greatest(i - 3, 1) + 6], true))), lambda i: cs[i]) AS ns FROM cores),
+  persons AS (SELECT id, unnest(list_filter(ns, lambda n, i: list_position(list_transform(ns, lambda m: lower(m)), lower(n)) = i)) AS value FROM people),
+  plats AS (SELECT id, CASE {" ".join(f"WHEN contains(low, '{v}') THEN '{k}'" for k, v in G.PLATFORMS.items())} END AS value FROM said),
+  named AS (SELECT id, 'tech' AS kind, unnest(list_intersect(w, {G.TECH!r})) AS value FROM ws UNION ALL SELECT id, 'agent', unnest(list_intersect(w, {G.AGENT!r})) FROM ws UNION ALL SELECT id, 'file', value FROM files UNION ALL SELECT id, 'component', value FROM parts UNION ALL SELECT id, 'person', value FROM persons UNION ALL SELECT id, 'platform', value FROM plats WHERE value IS NOT NULL),
   ent AS (SELECT * FROM topics UNION ALL SELECT id, 'project', project FROM m WHERE project IS NOT NULL UNION ALL
   SELECT id, 'origin', CASE WHEN regexp_matches(content, '(?m)^(?:USER|ASSISTANT):') THEN 'ai_transcript' WHEN regexp_matches(content, '(?m)^(?:```|~~~)') THEN 'codebase' ELSE 'notes' END FROM m)"""
 TOP = "top AS (SELECT project AS query, id FROM (SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY updated_at DESC NULLS LAST, id) AS r FROM m WHERE project IS NOT NULL) WHERE r <= {0})"

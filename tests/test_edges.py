@@ -165,3 +165,31 @@ def test_golden_questions(spark, tmp_path):
     none.write.parquet(str(tmp_path / "knowledge_triples.parquet"))
     got = Q.golden_quality(spark, str(tmp_path)).collect()
     assert len(got) == 12 and sum(r["place"] > 0 for r in got) >= 11 and not any(r["leaks"] for r in got)
+
+
+def test_persons_components_and_platforms(spark):
+    texts = {
+        "a": "hey Ada could you look",  # greeted
+        "b": "Then Grace reviewed it",  # acts; "Then" is no name
+        "c": "ask @linus-dev or @Linus",  # mentioned, with a capital only
+        "d": "the lead is one Margaret here",  # within three words of a role
+        "e": "the lead is one two Margaret here",  # four words off
+        "f": "Ada said, then hi ada and hey ADA",  # each once, as first written
+        "g": "the LoginForm and data-grid stand by the button",
+        "h": "x" * 30 + " data-grid " + "y" * 60 + " button",  # too far
+        "i": "Python said no to Cursor",
+        "j": "",
+    }
+    rows = spark.createDataFrame([(k, t, None, None) for k, t in texts.items()], "id string, content string, project string, source string")
+    got = {}
+    for r in G.entities(rows).filter("kind in ('person', 'component', 'platform')").collect():
+        got.setdefault(r["id"], set()).add((r["kind"], r["value"]))
+    assert got == {
+        "a": {("person", "Ada")},
+        "b": {("person", "Grace")},
+        "c": {("person", "Linus")},
+        "d": {("person", "Margaret")},
+        "f": {("person", "Ada")},
+        "g": {("component", "LoginForm"), ("component", "data-grid")},
+        "i": {("platform", "cursor")},
+    }

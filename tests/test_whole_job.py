@@ -92,7 +92,7 @@ def test_pairs_and_cooccurrence_over_all_kinds(spark, monkeypatch):
     own = {}
     for r in G.entities(m).collect():
         own.setdefault(r["id"], set()).add((r["kind"], r["value"]))
-    assert {k for e in own.values() for k, _ in e} == {"project", "origin", "tech", "agent", "file", "component", "person"}
+    assert {k for e in own.values() for k, _ in e} == {"project", "origin", "platform", "tech", "agent", "file", "component", "person"}
     project = {r["id"]: r["project"] for r in m.collect()}
     for name, n in (("coherence_pairs_all", 5), ("adjacency_pairs_all", 20)):
         top = {p: sorted(i for i in own if project[i] == p)[:n] for p in "pq"}
