@@ -69,6 +69,18 @@ def search_trace(s, d):
     return c.groupBy("query").agg(F.count(F.lit(1)).alias("candidates"), F.count("bm25_rank").alias("lexical"), F.count("vec_rank").alias("vector"), F.round(F.max("score"), 6).alias("best"))
 
 
+def trace_log(s, d):
+    """The telemetry of three single searches, a JSON line each, appended to one log and read again."""
+    from skein.queries.io import folder
+    from skein.sources import writers as O
+
+    at, (m, more) = folder(s), parts(s, d)
+    lane = cut(P.lexical_lane(asked(s), m, index=more["index"]).groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.min("bm25_rank").alias("best")))
+    for name in list(ASKED)[:3]:  # one append a search
+        O.append_trace(lane.filter(F.col("query") == name), at)
+    return s.read.schema("query string, hits long, best int").json(at)
+
+
 def lexical_lane(s, d):
     m, more = parts(s, d)
     return P.lexical_lane(asked(s), m, index=more["index"])
@@ -174,7 +186,7 @@ def file_context(s, d):
     return P.search(q, m, P.Options(AS_OF, limit=5, keywords=("field", "state", "frame")), **more)
 
 
-QUERIES = {f.__name__: f for f in (store_build, golden_quality, intent_factors, search_accesses, hybrid_search, hybrid_search_filtered, search_trace, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
+QUERIES = {f.__name__: f for f in (store_build, golden_quality, intent_factors, search_accesses, hybrid_search, hybrid_search_filtered, search_trace, trace_log, lexical_lane, hybrid_rrf_top10, search_factors, query_expansion, session_diversity, rerank_local, rerank_cross, file_context)}
 
 holds = lambda ws: "(" + " OR ".join(f"contains(low, {sql_text(w)})" for w in ws) + ")"
 sql_text = lambda w: "'" + w.replace("'", "''") + "'"

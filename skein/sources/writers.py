@@ -20,6 +20,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def append_trace(df: DataFrame, path: str) -> None:
+    """Rows of telemetry as JSON lines, added to a log."""
+    df.coalesce(1).write.mode("append").json(path)
+
+
 def bullet(text: Column, importance: Column, tags: Column) -> Column:
     """- text ★★★ `tag` `tag`"""
     marks = F.array_join(F.transform(tags, lambda t: F.concat(F.lit("`"), t, F.lit("`"))), " ")

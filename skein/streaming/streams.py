@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +63,17 @@ def recent_ring(events: DataFrame, key: str, item: str, time: str, *, size: int
     return rows.groupBy("key").applyInPandasWithState(fold, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def error_states(events: DataFrame, key: str, status: str, message: str) -> DataFrame:
-    """A stream of (key, event, message) from checks: "raised" when an error comes or its message changes, "cleared" when a check passes again; the same error again gives nothing."""
+def error_states(events: DataFrame, key: str, status: str, message: str, time: str | None = None) -> DataFrame:
+    """A stream of (key, event, message) from checks: "raised" when an error comes or its message changes, "cleared" when a check passes again; the same error again gives nothing.
+
+    time: within a micro-batch a key's checks are taken in its order, at one time failed ones first, those without a time last; without it as they come.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
         out = []
-        for batch in batches:
+        ordered = pd.concat(list(batches)).sort_values(["at", "ok"], kind="stable", na_position="last") if time else None
+        for batch in [ordered] if time else batches:
             for ok, text in zip(batch["ok"], batch["message"], strict=True):
                 if ok and now is not None:
                     out.append((k[0], "cleared", now))
@@ -79,10 +84,28 @@ def error_states(events: DataFrame, key: str, status: str, message: str) -> Data
         state.update((now,))
         yield pd.DataFrame(out, columns=["key", "event", "message"])
 
-    rows = events.select(F.col(key).cast("string").alias("key"), (F.col(status) == "ok").alias("ok"), F.coalesce(F.col(message), F.lit("")).alias("message")).filter("key is not null and ok is not null")
+    at = F.col(time).cast("timestamp").cast("double") if time else F.lit(None).cast("double")
+    rows = events.select(F.col(key).cast("string").alias("key"), (F.col(status) == "ok").alias("ok"), F.coalesce(F.col(message), F.lit("")).alias("message"), at.alias("at")).filter("key is not null and ok is not null")
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event string, message string", "now string", "append", GroupStateTimeout.NoTimeout)
 
 
+# Suffixes of files whose changes count (files without any suffix count too), and folders whose files do not.
+WATCHED = "rs ts svelte py js go tsx jsx md".split()
+UNWATCHED = ("/.", "/node_modules/", "/target/")
+
+
+def file_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of (path, name, changed_at, words) of the files that come into a folder or change there, for the boost of what is in work."""
+    from skein.functions.text import name_words
+
+    seen = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    local = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    rows = seen.select(local.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("changed_at"))
+    skipped = reduce(lambda a, part: a | F.col("path").contains(part), UNWATCHED, F.lit(False))
+    suffix = F.regexp_extract("name", r"^.+\.([^.]*)$", 1)
+    return rows.filter(~skipped & ((suffix == "") | suffix.isin(*WATCHED))).withColumn("words", name_words(F.col("path")))
+
+
 def expiring(rows: DataFrame, *, time: str = "created_at", ttl: str = "expires_at") -> DataFrame:
     """Rows of a stream that have not expired at their own event time plus nothing: late ones whose time to live is over are dropped."""
     return rows.filter(F.col(ttl).isNull() | (F.col(ttl) > F.col(time)))
