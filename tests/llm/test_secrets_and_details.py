@@ -130,3 +130,14 @@ def test_details_table(spark):
     rows = spark.createDataFrame([("a", TEXTS[0][0]), ("b", None)], "id string, content string").withColumn("start", F.lit(1))
     assert [r["pii_text"] for r in P.details_in(rows).collect()] == ["Rosalind P. Whitaker"]
     assert {r["id"]: r["content"] for r in P.redact_details(rows).collect()} == {"a": "The bakery was sold to [NAME], ref. AB-1200.", "b": None}
+
+
+def test_no_gate_keeps_a_rule_from_its_lines():
+    value = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    for line in (f"Authorization: Token {value}", f"curl -H 'Authorization: ApiKey {value}' https://x.org", f'headers = {{"Authorization": "Token {value}"}}', f"redis-cli -h db -a{value}", f"-u bob:{value}", f'api_key = "{value * 150}"'):
+        assert value not in C.redact(line) and "[REDACTED]" in C.redact(line), line[:80]
+
+
+def test_gates_let_through_what_the_generators_propose():
+    for text, kind in (("jane.doe at example.org", 1), ("jean.dupont arobase exemple.fr", 1), ("RSSMRA85T10A562S", 3)):
+        assert any(c.kind == kind and (c.start, c.end) == (0, len(text)) for c in P.candidates(text)), text
