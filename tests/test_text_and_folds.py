@@ -36,6 +36,23 @@ def test_budget_skips_or_stops(spark):
     assert sorted(r["id"] for r in skip.collect()) == ["a", "c"] and sorted(r["id"] for r in stop.collect()) == ["a"]
 
 
+def test_budgets_of_long_lists(spark):
+    rnd = random.Random(3)
+    size = lambda i: rnd.choice([0, None, 1, 400, 700, 900] if i > 2_300 else [600, 700, 900])
+    rows = [(k, i, size(i)) for k in ("a", None) for i in range(2_600)] + [("b", i, 1) for i in range(1_600)]
+    df = spark.createDataFrame(rows, "k string, o int, size int")
+    for stop in (False, True):
+        want, used, shut = set(), {}, set()
+        for k, o, n in rows:
+            if k not in shut and n is not None and used.get(k, 0) + n <= 1_500:
+                want.add((k, o, n))
+                used[k] = used.get(k, 0) + n
+            elif stop:
+                shut.add(k)
+        got = [tuple(r) for r in within_budget(df, ["k"], ["o"], "size", 1_500, stop=stop).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_never_rising(spark):
     v = spark.createDataFrame([([1.0, 2.0, 0.5, 0.9],)], "s array<double>").select(never_rising(F.col("s")).alias("s")).first()["s"]
     assert [round(x, 6) for x in v] == [1.0, 0.99, 0.5, 0.495]
