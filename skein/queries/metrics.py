@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.text import terms
-from skein.operators import lexical as L
 from skein.operators import metrics as E
+from skein.operators.batch import best_by_term
 from skein.queries.graph import FOLD
-from skein.queries.search import parts
-from skein.session import cut
+from skein.session import stored
 from skein.tables import M, memories, table
 
 
@@ -21,12 +20,9 @@ def self_queries(s, d):
 
 
 def self_results(s, d):
-    q = self_queries(s, d)
-    words = cut(q.select("query", F.posexplode(F.split("text", " ")).alias("n", "term")))
-    m, more = parts(s, d)
-    places = more["index"].places.filter("field = 'content'")  # the stored index, met by the terms before anything is counted
-    scored = L.bm25_by_term(places, words, L.lengths(m, "id", {"content": F.col("content")}), {}).withColumn("score", F.round("score", 6))
-    return L.rank(scored, 10).select("query", F.col("key").alias("id"), "rank")
+    rows = stored(memories(s, d).select(F.col("id").alias("key"), terms(F.col("content")).alias("ts")))  # nothing else of the store is needed
+    asked = self_queries(s, d).select("query", F.filter(F.split("text", " "), lambda t: t != "").alias("ts"))
+    return best_by_term(rows, asked, 10).select("query", F.col("key").alias("id"), "rank")
 
 
 def ir_metrics(s, d):
