@@ -37,7 +37,7 @@ def test_steps_are_those_of_round(spark):
     assert batch.rounded(batch.np.array(x)).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["ir_metrics", "ir_metrics_by_kind", "recall_quality"])
+@pytest.mark.parametrize("name", ["ir_metrics", "ir_metrics_by_kind", "recall_quality", "session_match"])
 def test_metrics_do_not_build_the_store(spark, monkeypatch, name):
     def parts(s, d):
         raise AssertionError("the store is built")
