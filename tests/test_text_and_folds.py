@@ -135,3 +135,9 @@ def test_code_is_cut_at_definitions():
 def test_preview_and_name_words(spark):
     r = spark.createDataFrame([("a\n b" + "x" * 200, "src/fieldStateFrame_v2.py")], "t string, p string").select(X.preview(F.col("t")).alias("v"), X.name_words(F.col("p")).alias("w")).first()
     assert len(r["v"]) == 120 and r["v"].endswith("…") and r["w"] == ["field", "state", "frame"]
+
+
+def test_a_list_of_many_rows_stops_in_its_place(spark):
+    rows = spark.createDataFrame([("p", i, 0 if i < 2_500 else 500) for i in range(2_600)], "k string, o int, size int")
+    got = [r["o"] for r in within_budget(rows, ["k"], ["o"], "size", 1_500, stop=True).collect()]
+    assert sorted(got) == list(range(2_503))
