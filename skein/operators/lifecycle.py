@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import first_sentence, normalised, word_set
+from skein.operators.prefixes import candidates
 from skein.operators.relational import age_days, expired, protected
-from skein.session import cut
+from skein.session import cut, stored
 
 #: Thresholds of the merge on insert and of the report.
 MERGE, REPORT = 0.85, 0.7
@@ -32,21 +33,28 @@ def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], thr
     """(a, b, similarity) of rows of one bucket whose word sets have at least the threshold; exact, without all pairs.
 
     Rows with equal word sets are one class; a class shows the words of its prefix, rarest first, that any
-    partner must share (prefix filter), so only rows with a rare word in common meet. Pairs are those of the
+    partner must share (prefix filter, as numbers), so only rows with a rare word in common meet; the words themselves are
+    read for pairs that their sizes and parities allow. Pairs are those of the
     classes' representatives (smallest key); the other rows of a class are found by copies().
     """
-    rows = word_sets(df, key, text, bucket, least_length)
-    classes = cut(rows.groupBy("bucket", "w").agg(F.min("key").alias("key")).filter("size(w) > 0"))
-    seen = classes.select("bucket", F.explode("w").alias("t")).groupBy("bucket", "t").agg(F.count(F.lit(1)).alias("df"))
-    spread = classes.select("bucket", "key", F.size("w").alias("n"), F.explode("w").alias("t")).join(seen, ["bucket", "t"])
-    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "t")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("bucket", "t", "key", "n", "df")
-    near = meeting(prefix).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    w = classes.select("key", "w")
-    both = near.join(w.toDF("a", "wa"), "a").join(w.toDF("b", "wb"), "b")
+    said = word_sets(df, key, text, bucket, least_length).filter("size(w) > 0")
+    hashes = F.array_distinct(F.transform("w", lambda x: F.xxhash64("bucket", x)))
+    rows = stored(said.select("key", "bucket", "w", F.monotonically_increasing_id().alias("id")))
+    # of equal sets the smallest key; told by digests, so that the words stay where they are
+    each = rows.select("id", "key", "bucket", F.sha2(F.concat_ws(" ", "w"), 256).alias("class"))
+    others = each.join(each.groupBy("bucket", "class").agg(F.min_by("id", F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), ["bucket", "class"]).filter("id <> first").select("id")
+    alone = rows.join(few(stored(others)), "id", "left_anti")
+    near = few(stored(candidates(alone.select("id", hashes.alias("h")), rows.count(), threshold)))
+    end = lambda c: rows.select(F.col("id").alias(c), F.col("key").alias(f"k{c}"), F.col("w").alias(f"w{c}")).join(near, c)
+    both = end("a").join(end("b"), ["a", "b"])
     common = F.size(F.array_intersect("wa", "wb"))
     value = common / (F.size("wa") + F.size("wb") - common)
-    return both.select("a", "b", value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def meeting(prefix: DataFrame, block: int | None = None) -> DataFrame:
