@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import first_sentence, normalised, word_set
+from skein.functions.text import first_sentence, normalised
 from skein.operators.prefixes import candidates
 from skein.operators.relational import age_days, expired, protected
-from skein.session import cut, stored
+from skein.session import MANY, cut, stored
 
 #: Thresholds of the merge on insert and of the report.
 MERGE, REPORT = 0.85, 0.7
@@ -25,36 +25,59 @@ STOP = "the and for with that this from are was were not you has have its into o
 
 def word_sets(df: DataFrame, key: str, text: str, bucket: list[str], least_length: int) -> DataFrame:
     """(key, bucket, w, text): the sorted words of a row, and its bucket as one value; null buckets are equal to each other."""
-    words = F.filter(word_set(F.col(text)), lambda w: F.length(w) >= least_length)
-    return df.select(F.col(key).alias("key"), F.concat_ws("\u0001", *(F.coalesce(F.col(b).cast("string"), F.lit("\u0002")) for b in bucket)).alias("bucket"), F.array_sort(words).alias("w"), F.col(text).alias("text"))
+    split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+")
+    words = F.array_distinct(F.filter(split, lambda w: F.length(w) >= max(least_length, 1)))
+    return df.select(F.col(key).alias("key"), F.concat_ws("\u0001", *(F.coalesce(F.col(b).cast("string"), F.lit("\u0002")) for b in bucket)).alias("bucket"), F.sort_array(words).alias("w"), F.col(text).alias("text"))
 
 
 def similar_word_sets(df: DataFrame, key: str, text: str, bucket: list[str], threshold: float, least_length: int = 1) -> DataFrame:
     """(a, b, similarity) of rows of one bucket whose word sets have at least the threshold; exact, without all pairs.
 
-    Rows with equal word sets are one class; a class shows the words of its prefix, rarest first, that any
-    partner must share (prefix filter, as numbers), so only rows with a rare word in common meet; the words themselves are
-    read for pairs that their sizes and parities allow. Pairs are those of the
-    classes' representatives (smallest key); the other rows of a class are found by copies().
+    Pairs are those of the classes of equal word sets, shown by their representatives (smallest key); the other rows of a class
+    are found by copies().
     """
-    said = word_sets(df, key, text, bucket, least_length).filter("size(w) > 0")
+    rows = worded(df, key, text, bucket, least_length)
+    return alike(rows, further(rows), threshold)
+
+
+def worded(df: DataFrame, key: str, text: str, bucket: list[str], least_length: int = 1) -> DataFrame:
+    """(key, bucket, w) of the rows with a key and words, as a table: what further() and alike() read."""
+    return stored(word_sets(df, key, text, bucket, least_length).filter("key is not null and size(w) > 0").select("key", "bucket", "w"))
+
+
+def further(rows: DataFrame) -> DataFrame:
+    """(representative, member), as a table, of worded rows: every further row of a class of equal word sets, beside the class's smallest key.
+
+    Sets are told by digests, and only classes of several rows are looked up.
+    """
+    each = rows.select("key", F.unhex(F.sha2(F.concat_ws("\u0003", "bucket", F.concat_ws(" ", "w")), 256)).alias("class"))
+    several = few(stored(each.groupBy("class").agg(F.min("key").alias("representative"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")))
+    return stored(each.join(several, "class").filter("key <> representative").select("representative", F.col("key").alias("member")).distinct())
+
+
+def alike(rows: DataFrame, further: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of worded rows without the further ones.
+
+    A row shows the words of its prefix, rarest first, that any partner must share (prefix filter, as numbers), so only rows
+    with a rare word in common meet; the words themselves are moved only for rows in pairs that their sizes and parities
+    allow. Rows are numbered by a hash of their key: equal numbers of unlike keys are told apart when words are compared.
+    """
+    number = F.xxhash64("key")
     hashes = F.array_distinct(F.transform("w", lambda x: F.xxhash64("bucket", x)))
-    rows = stored(said.select("key", "bucket", "w", F.monotonically_increasing_id().alias("id")))
-    # of equal sets the smallest key; told by digests, so that the words stay where they are
-    each = rows.select("id", "key", "bucket", F.sha2(F.concat_ws(" ", "w"), 256).alias("class"))
-    others = each.join(each.groupBy("bucket", "class").agg(F.min_by("id", F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), ["bucket", "class"]).filter("id <> first").select("id")
-    alone = rows.join(few(stored(others)), "id", "left_anti")
-    near = few(stored(candidates(alone.select("id", hashes.alias("h")), rows.count(), threshold)))
-    end = lambda c: rows.select(F.col("id").alias(c), F.col("key").alias(f"k{c}"), F.col("w").alias(f"w{c}")).join(near, c)
-    both = end("a").join(end("b"), ["a", "b"])
-    common = F.size(F.array_intersect("wa", "wb"))
-    value = common / (F.size("wa") + F.size("wb") - common)
-    return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
-
-
-def few(df: DataFrame) -> DataFrame:
-    """A stored table, broadcast if it has at most FEW rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    sets = rows.select(number.alias("id"), hashes.alias("h"), F.xxhash64("bucket").alias("bucket"))
+    near = stored(candidates(sets, rows.count(), threshold, few(further.select(F.xxhash64("member").alias("id")), MANY)))
+    ids = few(stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), MANY)
+    said = rows.select(number.alias("id"), "key", "bucket", "w").join(ids, "id", "left_semi")
+    end = lambda c: said.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("key", "bucket", "w")))
+    both = end("a").join(near, "a").join(end("b"), "b").filter("bucket_a = bucket_b")
+    common = F.size(F.array_intersect("w_a", "w_b"))
+    value = common / (F.size("w_a") + F.size("w_b") - common)
+    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A stored table, broadcast if it has at most that many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def meeting(prefix: DataFrame, block: int | None = None) -> DataFrame:

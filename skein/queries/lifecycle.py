@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from skein.operators import lifecycle as Y
 from skein.queries.relational import AGE, EXP, PIN
-from skein.session import cut, stored
-from skein.tables import AS_OF, M, memories
+from skein.session import cut
+from skein.tables import AS_OF, M, memories, once_per_id
 
 
 def exact_dups(s, d):
@@ -25,10 +25,10 @@ def jaccard_members(s, d):
 
 
 def dedupe_report(s, d):
-    m = stored(memories(s, d).select("id", "content", "project"))
-    pairs = Y.similar_word_sets(m, "id", "content", ["project"], Y.REPORT, 3)
-    groups = Y.seed_groups(pairs).toDF("group", "id")
-    return Y.with_copies(groups, cut(Y.copies(m, "id", "content", ["project"], 3))).select(F.col("group").alias("seed"), F.col("id").alias("member"))
+    rows = Y.worded(memories(s, d, once_per_id), "id", "content", ["project"], 3)
+    copies = Y.further(rows)
+    groups = Y.seed_groups(Y.alike(rows, copies, Y.REPORT)).toDF("group", "id")
+    return Y.with_copies(groups, copies).select(F.col("group").alias("seed"), F.col("id").alias("member"))
 
 
 def merge_on_insert(s, d):

@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Numbers of rows that are broadcast; longer lists of them are joined by a shuffle.
+MANY = 1_000_000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 

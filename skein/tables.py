@@ -6,9 +6,13 @@ checked against start from one definition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import MANY, stored
+
 #: The moment at which the registered queries are asked; operators take it as a parameter and never read a clock.
 AS_OF = "2025-11-01 00:00:00"
 #: Kinds that an earlier version of the store wrote, and what they are now.
@@ -31,6 +35,15 @@ def one_per_id(df: DataFrame, key: str = "id") -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def once_per_id(df: DataFrame, key: str = "id") -> DataFrame:
+    """one_per_id() without a shuffle of the rows: numbers of ids are counted, and only rows whose id may come again are set apart, as a table."""
+    again = stored(df.groupBy(F.xxhash64(key).alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again"))
+    if again.limit(MANY + 1).count() > MANY:
+        return one_per_id(df, key)
+    of = lambda how: df.join(F.broadcast(again), F.xxhash64(key) == F.col("again"), how)
+    return of("left_anti").unionByName(stored(one_per_id(of("left_semi"), key)))
+
+
 def kind_of(kind: Column) -> Column:
     plain = F.lower(F.trim(kind))
     for old, new in LEGACY_KINDS.items():
@@ -43,9 +56,9 @@ def tags_of(tags: Column) -> Column:
     return F.coalesce(F.when(F.trim(tags).rlike(r"^\[.*\]$"), F.from_json(tags, "array<string>")), F.array().cast("array<string>"))
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The memory store, cleaned: one row an id, kind and project normalised, tags and scope decoded, importance 1 to 5."""
-    raw = one_per_id(table(spark, sf_dir, "memories"))
+def memories(spark: SparkSession, sf_dir: str, once: Callable[[DataFrame], DataFrame] = one_per_id) -> DataFrame:
+    """The memory store, cleaned: one row an id (by `once`), kind and project normalised, tags and scope decoded, importance 1 to 5."""
+    raw = once(table(spark, sf_dir, "memories"))
     scope = [F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("session_id", "thread_id", "window_id")]
     times = [F.col(c).cast("timestamp").alias(c) for c in ("expires_at", "created_at", "updated_at", "last_accessed_at")]
     return raw.select(
